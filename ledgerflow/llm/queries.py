@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media_columns, quality_rules, url_filter
+from . import language_id, media_columns, packing, quality_rules, sentencepieces, substring_dedup, token_index, url_filter
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents as indexed binary shards, read back."""
+    manifest = token_index.write_token_shards(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_index.read_token_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over documents."""
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 13-word windows of earlier documents."""
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL rules, then the n-gram model, over pages."""
     return url_filter.url_filter(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
@@ -40,8 +63,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sentence pieces and back."""
+    return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op6_url_filter, op8_media_columns, op9_language_id]
+    found = [op1_token_index, op3_quality_rules, op4_packing, op5_substring_dedup, op6_url_filter, op8_media_columns, op9_language_id, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 
