@@ -1,7 +1,7 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
-A shard is two files in a shared folder: `.ids`, the little-endian unsigned 32-bit ids of its documents in ascending
-doc_id order with nothing between them, and `.index`, a minimal perfect hash of its document keys.  The hash gives a
+A shard is two files in a shared folder: `.ids`, the little-endian unsigned ids of its documents in ascending
+doc_id order with nothing between them (16 bits each where the vocabulary allows, else 32), and `.index`, a minimal perfect hash of its document keys.  The hash gives a
 key's slot from a few bits and a rank; the slot holds a fingerprint, the key's first row and its number of rows; the
 row table holds the places of the ids.  A lookup touches a constant number of cells and one range of the payload.
 
@@ -99,7 +99,8 @@ def build_index(keys: np.ndarray, nulls: np.ndarray, places: np.ndarray) -> byte
 class TokenShard:
     """Keyed reads of one shard."""
 
-    def __init__(self, ids_uri: str, index_uri: str):
+    def __init__(self, ids_uri: str, index_uri: str, id_bytes: int):
+        self.id_bytes = id_bytes
         system, path = pafs.FileSystem.from_uri(index_uri)
         with system.open_input_file(path) as f:
             found = np.load(io.BytesIO(f.read()))
@@ -129,12 +130,12 @@ class TokenShard:
     def ids(self, row: int, end: int | None = None) -> np.ndarray:
         """The ids of a row, or of rows row:end."""
         a, b = int(self.places[row]), int(self.places[row + 1 if end is None else end])
-        self.file.seek(4 * a)
-        return np.frombuffer(self.file.read(4 * (b - a)), "<u4")
+        self.file.seek(self.id_bytes * a)
+        return np.frombuffer(self.file.read(self.id_bytes * (b - a)), f"<u{self.id_bytes}").astype("<u4")
 
 
 def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes the shards; returns their manifest: shard, ids_uri, index_uri, n_docs, n_tokens, written and reread.
+    """Writes the shards; returns their manifest: shard, ids_uri, index_uri, id_bytes, n_docs, n_tokens, written and reread.
 
     Rows are in ascending order of doc_id, null first, equal ids by text; a null text is empty and has the end id alone.
     A task that is run again writes its own files, and the manifest names those of the attempt that counts.  An empty
@@ -149,6 +150,7 @@ def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
         system, base = pafs.FileSystem.from_uri(folder)
         name = f"{shard:06d}-{uuid.uuid4().hex}"
         keys, nulls, sizes, stream = [], [], [np.zeros(1, np.int64)], None
+        width = 2 if max(encoder(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,7 +163,7 @@ def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
             data, offsets = text_buffer(batch.column(1))
             for _, _, part, places in slices(data, offsets):
                 ids, ends = encoder(tokenizer_path).encode_with_end(part, places, end_id)
-                stream.write(ids.astype("<u4", copy=False).tobytes())
+                stream.write(ids.astype(f"<u{width}").tobytes())
                 sizes.append(np.diff(ends))
         if stream is None:
             return
@@ -169,14 +171,14 @@ def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
         places = np.cumsum(np.concatenate(sizes))
         with system.open_output_stream(f"{base}/{name}.index") as f:
             f.write(build_index(np.concatenate(keys), np.concatenate(nulls), places))
-        cols = [[shard], [f"{folder}/{name}.ids"], [f"{folder}/{name}.index"], [len(places) - 1], [int(places[-1])]]
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "ids_uri", "index_uri", "n_docs", "n_tokens"])
+        cols = [[shard], [f"{folder}/{name}.ids"], [f"{folder}/{name}.index"], [width], [len(places) - 1], [int(places[-1])]]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "ids_uri", "index_uri", "id_bytes", "n_docs", "n_tokens"])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
     rows = rows.repartitionByRange(shards, "i") if shards else rows.repartitionByRange("i")
     rows = rows.sortWithinPartitions("i", "t")
-    return written(rows.mapInArrow(write, "shard int, ids_uri string, index_uri string, n_docs long, n_tokens long"), "token-manifest")
+    return written(rows.mapInArrow(write, "shard int, ids_uri string, index_uri string, id_bytes int, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
@@ -186,8 +188,8 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for shard, ids_uri, index_uri, base in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                open_ = TokenShard(ids_uri, index_uri)
+            for shard, ids_uri, index_uri, id_bytes, base in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                open_ = TokenShard(ids_uri, index_uri, id_bytes)
                 first = np.flatnonzero(np.concatenate([[True], (open_.keys[1:] != open_.keys[:-1]) | (open_.nulls[1:] != open_.nulls[:-1])]))
                 row, count = open_.find(open_.keys[first], open_.nulls[first])
                 rows = np.repeat(row - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -209,13 +211,13 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                     at = end
                 open_.close()
 
-    spread = based.select("shard", "ids_uri", "index_uri", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
+    spread = based.select("shard", "ids_uri", "index_uri", "id_bytes", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """doc_id, ids of the asked keys: each shard is asked for those in its range (a bounded table of shards)."""
-    shards = [(r["ids_uri"], r["index_uri"]) for r in manifest.select("ids_uri", "index_uri").collect()]
+    shards = [tuple(r) for r in manifest.select("ids_uri", "index_uri", "id_bytes").collect()]
 
     def read(batches):
         for batch in batches:

@@ -1,13 +1,16 @@
 """Token ids of whole texts by the tokenizers library, with each distinct piece of text encoded once.
 
-A text is cut before white space that follows a character which surely isn't white space.  No pre-token of the two
+A text is cut before white space that follows a character which surely isn't white space, after a line feed that
+stands alone, and between ASCII letters and punctuation (but not after an apostrophe).  No pre-token of the two
 vocabularies crosses such a place and no normalisation looks across it, so a text's ids are the ids of its pieces in
-order.  Pieces repeat far more often than texts, so most come from a table that a worker keeps.
+order.  Pieces repeat far more often than texts, so most come from a table that a worker keeps; new words are encoded
+many to a call.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,13 +19,22 @@ import pyarrow as pa
 from .bytekernels import IS_SPACE
 
 #: Pieces and ids that a worker keeps at most; beyond that it starts a new table.
-MAX_PIECES = 400_000
-MAX_IDS = 4_000_000
+MAX_PIECES = 700_000
+MAX_IDS = 6_000_000
+#: New words that one call encodes together.
+TOGETHER = 400
 
 _SAFE_ASCII = np.zeros(256, bool)
 _SAFE_ASCII[0x21:0x7F] = True
 _LEAD_OF_TWO = np.zeros(256, bool)
 _LEAD_OF_TWO[0xC3:0xE0] = True  # no white space character has one of these as the first of its two bytes
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[0x21:0x7F] = True
+_MARK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+#: A space and letters that every Unicode version has: one pre-token.
+_WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -33,6 +45,10 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     safe[1:] |= (data[1:] >= 0x80) & _LEAD_OF_TWO[data[:-1]]
     cut = np.zeros(len(data), bool)
     cut[1:] = IS_SPACE[data[1:]] & safe[:-1]
+    letter, mark = _LETTER[data], _MARK[data]
+    cut[1:] |= letter[:-1] & mark[1:]
+    cut[1:] |= mark[:-1] & (data[:-1] != 0x27) & letter[1:]
+    cut[2:] |= safe[:-2] & (data[1:-1] == 0x0A) & letter[2:]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     return np.flatnonzero(cut)
 
@@ -104,16 +120,45 @@ class PieceEncoder(PieceTable):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._marks()
         super().__init__()
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return piece_starts(data, offsets)
 
+    def _marks(self) -> None:
+        """Which ids begin (or end) a word, by the vocabulary's own convention, if it has one."""
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = any(k.endswith("</w>") for k in vocab)
+        self.mark = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.mark[i] = token.endswith("</w>") if self.ends_word else token.startswith("Ġ")
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes
+        word = _WORD.fullmatch
+        plain = [i for i, p in enumerate(pieces) if word(p)]
+        parts = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        joined = [b"".join([pieces[i] for i in part]).decode() for part in parts]
+        rest: list[int] = sorted(set(range(len(pieces))) - set(plain))
+        sizes = np.zeros(len(pieces), np.int64)
+        found: list[tuple[list[int], np.ndarray]] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.mark[ids])
+            if len(at) != len(part):
+                rest += part
+                continue
+            sizes[part] = np.diff(at, prepend=-1) if self.ends_word else np.diff(at, append=len(ids))
+            found.append((part, ids))
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in lists]
+        found.append((rest, np.fromiter((i for x in lists for i in x), np.uint32)))
+        out = np.empty(int(sizes.sum()), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        for part, ids in found:
+            n = sizes[part]
+            out[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
 
 
 @lru_cache(maxsize=4)
