@@ -17,12 +17,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytekernels import mix
+from .bytekernels import lean, mix
 
 DEPTH = 2
 MIN_BITS, MAX_BITS = 16, 28
 RANGES = 64
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 SKETCH_SCHEMA = "part int, once binary, more binary"
 
 
@@ -82,25 +82,33 @@ def partition_sketch(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.Rec
         yield from flush(held)
 
 
-def merged(sketches: DataFrame, bits: int) -> np.ndarray:
-    """(DEPTH, cells / 8) packed bits: cells hit twice or more by all partition sketches together."""
+#: A cell is hot if this many flushes of tasks have hit it.
+HOT = 64
+
+
+def merged(sketches: DataFrame, bits: int, hot: bool = False) -> np.ndarray:
+    """(DEPTH, cells / 8) packed bits: cells hit twice or more by all partition sketches together (hot: then the same
+    for cells that HOT flushes have hit)."""
     width = max(1, (1 << bits) // RANGES)
 
     def merge(batches):
         state: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, once, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                count = state.setdefault(part, np.zeros(width, np.uint8))
-                at = _unpack(once.as_py())
-                count[at] = np.minimum(count[at] + 1, 2)
-                count[_unpack(more.as_py())] = 2
+                count = state.setdefault(part, np.zeros(width, np.uint8))  # 128 and up: twice or more; below: flushes
+                at = np.concatenate([_unpack(once.as_py()), many := _unpack(more.as_py())])
+                n = count[at]
+                count[at] = np.where(n > 0, 128, 0) | np.minimum((n & 127) + 1, HOT)
+                count[many] |= 128
         for part, count in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+            packed = [np.packbits(x, bitorder="little").tobytes() for x in (count >= 128, (count & 127) >= HOT)[: 1 + hot]]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.list_(pa.binary()))], ["part", "bits"])
 
-    out = np.zeros((DEPTH, max(1, (1 << bits) // 8)), np.uint8)
-    for r in sketches.repartition(DEPTH * RANGES, "part").mapInArrow(merge, "part int, bits binary").collect():  # of fixed size
+    out = np.zeros((DEPTH * (1 + hot), max(1, (1 << bits) // 8)), np.uint8)
+    for r in sketches.repartition(DEPTH * RANGES, "part").mapInArrow(lean(merge), "part int, bits array<binary>").collect():  # of fixed size
         row, k = divmod(r["part"], RANGES)
-        out[row, k * width // 8 : (k + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+        for i, packed in enumerate(r["bits"]):
+            out[i * DEPTH + row, k * width // 8 : (k + 1) * width // 8] = np.frombuffer(packed, np.uint8)
     return out
 
 
@@ -113,11 +121,11 @@ def repeated(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
-def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: float) -> tuple[Broadcast, int]:
+def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: float, hot: bool = False) -> tuple[Broadcast, int]:
     """The merged sketch of the hashes that `hashes_of` yields for each batch of df, broadcast, and its bits."""
     bits = bits_for(expected)
-    found = df.mapInArrow(lambda batches: partition_sketch((h for b in batches for h in hashes_of(b)), bits), SKETCH_SCHEMA)
-    return df.sparkSession.sparkContext.broadcast(merged(found, bits)), bits
+    found = df.mapInArrow(lean(lambda batches: partition_sketch((h for b in batches for h in hashes_of(b)), bits)), SKETCH_SCHEMA)
+    return df.sparkSession.sparkContext.broadcast(merged(found, bits, hot)), bits
 
 
 def total_bytes(df: DataFrame, column: str) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,8 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_ids(df: DataFrame, column: str) -> DataFrame:
-    """df, with the check that `column` is there."""
-    if column not in df.columns:
-        raise ValueError(f"no column {column}")
-    return df
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver drop the shuffle files of finished steps, which it does when it collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,6 +9,7 @@ one row for each batch into its group, not one for each document.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .bytekernels import mix, slices, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes
+from .bytekernels import lean, mix, slices, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes
+from .store import tidy, written
+
+_MIDDLE = 1 << 31
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -50,52 +55,95 @@ def local_first(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarr
 
 
 def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tkey: np.ndarray, at: np.ndarray, settled: bool) -> pa.RecordBatch:
-    """A row for each run of equal (h, g, doc, tkey): its first place, and the others as a list (null if there are none)."""
+    """A row for each run of equal (h, g, doc, tkey): x has 32 bits of g and its first place p (-1 - p if settled) from
+    _MIDDLE; `more` lists the other places, null if there are none."""
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (tkey[1:] != tkey[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(h))) - 1
     rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(at[~new].astype(np.int32)), mask=pa.array(count == 0))
-    cols = [pa.array(h[first].view(np.int64)), pa.array((g[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc[first]), pa.array(tkey[first]), pa.array(at[first].astype(np.int32)), rest, pa.array(np.full(len(first), settled))]
-    return pa.RecordBatch.from_arrays(cols, ["h", "g", "doc", "tkey", "at", "more", "settled"])
+    place = (_MIDDLE + np.where(settled, -1 - at[first], at[first])).astype(np.uint64)
+    x = (g[first] >> np.uint64(32) << np.uint64(32)) | place
+    cols = [pa.array(h[first].view(np.int64)), pa.array(x.view(np.int64)), pa.array(doc[first]), pa.array(tkey[first]), rest]
+    return pa.RecordBatch.from_arrays(cols, ["h", "x", "doc", "tkey", "more"])
 
 
-def removed_starts(df: DataFrame, rules: WindowRules = WindowRules()) -> DataFrame:
-    """doc, tkey, at, more (further places or null): first words of windows that also start in a document with a smaller id.
+def found_earlier(rows: DataFrame, windows_of: Callable[[pa.RecordBatch], Iterator[Windows]], expected: float) -> DataFrame:
+    """doc, tkey, at, more (further places or null): places of windows that a document with a smaller id has too.
 
-    df has doc (long, null rows are left out), tkey (a hash of the text, so that rows with one id but different texts
-    stay apart) and text.
+    windows_of yields, for parts of a batch, arrays of two hashes, the document's id, its tkey and the place of each
+    window.  `expected` windows only size the sketch.
     """
-    rows = df.where("doc is not null").select("doc", "tkey", "text")
-    expected = sketch.total_bytes(rows, "text") / rules.bytes_a_word
-    size = rules.window
-
-    def hashes_of(batch):
-        data, offsets = text_buffer(batch.column(0))
-        for _, _, part, places in slices(data, offsets):
-            yield _windows(part, places, size)[0]
-
-    shared, bits = sketch.build(rows.select("text"), hashes_of, expected)
+    shared, bits = sketch.build(rows, lambda batch: (w[0] for w in windows_of(batch)), expected)
+    tidy(rows.sparkSession)
 
     def second(batches):
         for batch in batches:
-            ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = text_buffer(batch.column(2))
-            for a, _, part, places in slices(data, offsets):
-                one, two, doc, at = _windows(part, places, size)
+            for one, two, ids, tkeys, at in windows_of(batch):
                 keep = sketch.repeated(shared.value, one, bits)
-                one, two, row, at = one[keep], two[keep], doc[keep] + a, at[keep]
-                open_, later = local_first((one, two), ids[row])
+                one, two, ids, tkeys, at = one[keep], two[keep], ids[keep], tkeys[keep], at[keep]
+                open_, later = local_first((one, two), ids)
                 if len(open_):
-                    yield _rows(one[open_], two[open_], ids[row[open_]], tkeys[row[open_]], at[open_], False)
+                    yield _rows(one[open_], two[open_], ids[open_], tkeys[open_], at[open_], False)
                 if len(later):  # settled: one row for each document, in a group of its own
-                    later = later[np.lexsort((at[later], row[later]))]
-                    own = mix(ids[row[later]].view(np.uint64) ^ tkeys[row[later]].view(np.uint64))
-                    yield _rows(own, own, ids[row[later]], tkeys[row[later]], at[later], True)
+                    later = later[np.lexsort((at[later], tkeys[later], ids[later]))]
+                    own = mix(ids[later].view(np.uint64) ^ mix(tkeys[later].view(np.uint64)))
+                    yield _rows(own, own, ids[later], tkeys[later], at[later], True)
+
+    found = rows.mapInArrow(lean(second), "h long, x long, doc long, tkey long, more array<int>").repartition("h")
+    at = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(_MIDDLE)
+    found = found.select("h", F.shiftright("x", 32).alias("g"), at.cast("int").alias("at"), "doc", "tkey", "more")
+    least = F.min(F.when(F.col("at") >= 0, F.col("doc"))).over(Window.partitionBy("h", "g"))
+    chosen = found.withColumn("least", least).where("at < 0 or doc > least")
+    return chosen.select("doc", "tkey", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "more")
 
-    found = rows.mapInArrow(second, "h long, g int, doc long, tkey long, at int, more array<int>, settled boolean")
-    least = F.min(F.when(~F.col("settled"), F.col("doc"))).over(Window.partitionBy("h", "g"))
-    return found.withColumn("least", least).where("settled or doc > least").select("doc", "tkey", "at", "more")
+
+def row_hashes(ids: np.ndarray, tkeys: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64) ^ mix(tkeys.view(np.uint64)))
+
+
+def split_touched(docs: DataFrame, touched: DataFrame) -> tuple[DataFrame, Callable]:
+    """(rows of docs that may be in touched (doc, tkey), a filter of batches of docs for rows that surely aren't).
+
+    A sketch of fixed size decides, so that only texts that change are shuffled to their changes.  Rows without an id
+    aren't in touched.
+    """
+
+    def hashes_of(batch):
+        h = row_hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield h
+        yield h  # two hits set a cell
+
+    shared, bits = sketch.build(touched.select("doc", "tkey"), hashes_of, 2 * touched.count())
+
+    def pick(batch: pa.RecordBatch, want: bool) -> pa.RecordBatch:
+        hit = sketch.repeated(shared.value, row_hashes(batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()), bits)
+        hit &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(hit == want))
+
+    return docs.mapInArrow(lean(lambda batches: (pick(b, True) for b in batches)), docs.schema), lambda batches: (pick(b, False) for b in batches)
+
+
+def removed_starts(docs: DataFrame, rules: WindowRules = WindowRules()) -> DataFrame:
+    """found_earlier() for the word windows of docs (doc, tkey, text); at is a window's first word."""
+    rows = docs.where("doc is not null").select("doc", "tkey", "text")
+
+    def windows_of(batch):
+        ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = text_buffer(batch.column(2))
+        for a, _, part, places in slices(data, offsets):
+            one, two, doc, at = _windows(part, places, rules.window)
+            yield one, two, ids[doc + a], tkeys[doc + a], at
+
+    return found_earlier(rows, windows_of, sketch.total_bytes(rows, "text") / rules.bytes_a_word)
+
+
+def keyed_texts(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc, tkey, text (and __c_0, ... for the columns `carry`): tkey tells rows with one id but different texts apart; it is 0 where ids don't repeat, which
+    one count of ids decides, so that the many rows that carry it compress."""
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"__c_{i}") for i, c in enumerate(carry)))
+    alone = docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1 and doc is not null").isEmpty()
+    return docs.select("doc", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("tkey"), "text", *(f"__c_{i}" for i in range(len(carry))))
 
 
 def kept_text(text: bytes, starts: np.ndarray, size: int) -> tuple[int, int, bytes]:
@@ -111,14 +159,13 @@ def kept_text(text: bytes, starts: np.ndarray, size: int) -> tuple[int, int, byt
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: WindowRules = WindowRules(), keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and (keep_text) kept_text of every row of df.
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: WindowRules = WindowRules(), keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, (keep_text) kept_text and the columns `carry` of every row of df.
 
     A null or empty text has no words and nothing is removed; a row without an id takes no part and stays whole.
     Repeated rows (one id) are never "smaller" than each other: each loses what smaller ids have.
     """
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    docs = docs.select("doc", F.xxhash64(F.col("text")).alias("tkey"), "text")
+    docs = keyed_texts(df, id_col, text_col, carry)
     starts = removed_starts(docs, rules)
     size = rules.window
 
@@ -136,9 +183,20 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())]
             if keep_text:
                 arrays.append(pa.array(cols[3], pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(arrays)])
-
-    lists = starts.groupBy("doc", "tkey").agg(F.collect_list("at").alias("one"), F.collect_list("more").alias("more"))  # numbers of words of one document
-    joined = docs.join(lists, ["doc", "tkey"], "left").select("doc", "text", "one", "more")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.mapInArrow(finish, schema)
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(arrays)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(4 + i) for i in range(len(carry)))], [*names, *carry])
+
+    kinds = dict(df.dtypes)
+    lists = written(starts.groupBy("doc", "tkey").agg(F.collect_list("at").alias("one"), F.collect_list("more").alias("more")), "removed-starts")  # numbers of words of one document
+    tidy(df.sparkSession)
+    hit, rest = split_touched(docs, lists)
+    carried = [f"__c_{i}" for i in range(len(carry))]
+    joined = hit.join(lists, ["doc", "tkey"], "left").select("doc", "text", "one", "more", *carried)
+
+    def whole(batches):
+        for b in rest(batches):
+            none = [pa.nulls(b.num_rows, pa.list_(pa.int32())), pa.nulls(b.num_rows, pa.list_(pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *none, *(b.column(3 + i) for i in range(len(carry)))], ["doc", "text", "one", "more", *carried])
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return joined.mapInArrow(lean(finish), schema).unionByName(docs.mapInArrow(lean(lambda batches: finish(whole(batches))), schema))
