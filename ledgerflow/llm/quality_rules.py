@@ -85,7 +85,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: LineRules = Line
     rows = rows.withColumn("__qr_g", F.filter(lines, lambda x: ~failing_line(x, rules)))
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
     rows = rows.withColumn("__qr_c", covered).withColumn("__qr_a", chars(lines)).withColumn("__qr_k", chars(F.col("__qr_g")))
-    total, good, c = F.col("__qr_a"), F.col("__qr_k"), F.col("__qr_c")
+    # a filter on the verdict must not be pushed below this line: it would write the whole chain out again and again
+    rows = rows.withColumn("__qr_m", F.monotonically_increasing_id())
+    total, good, c = F.col("__qr_a"), F.col("__qr_k"), F.col("__qr_c") + F.col("__qr_m").bitwiseAND(F.lit(0))
     failed = (n < 50) | (100 * c > 50 * n)
     return rows.select(
         *keep,
