@@ -132,21 +132,23 @@ def infer_mixture(counts: np.ndarray, model: np.ndarray, rules: MixtureRules) ->
     return theta
 
 
-def identify_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", rules: MixtureRules = MixtureRules()) -> DataFrame:
-    """doc_id, lang_pred, score (share of that language), n_languages, mixture (language=share, comma separated).
+def with_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], text_col: str = "text", rules: MixtureRules = MixtureRules()) -> DataFrame:
+    """All columns of df, and lang_pred, score (share of that language), n_languages, mixture (language=share, comma
+    separated).
 
     'und' with score 0 where the text is null or has no letter, or nothing was learned.  One row per row of df, nulls
-    and repeated rows included.
+    and repeated rows included; columns of df with one of these names are replaced.
     """
     languages, model = fitted
-    schema = "doc_id bigint, lang_pred string, score double, n_languages int, mixture string"
-    no_letter = r"\p{L}"
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"), F.coalesce(F.rlike(F.col(f"`{text_col}`"), F.lit(no_letter)), F.lit(False)).alias("a"))
+    made = ["lang_pred", "score", "n_languages", "mixture"]
+    keep = [c for c in df.columns if c not in made]
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(*(F.col(f"`{c}`") for c in keep), text.alias("__l_t"), F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False)).alias("__l_a"))
 
     def judge(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            known = batch.column(2).to_numpy(zero_copy_only=False)
+            data, offsets = text_buffer(batch.column(len(keep)))
+            known = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             shares = np.zeros((batch.num_rows, model.shape[1]))
             if languages:
                 for a, b, part, places in slices(data, offsets):
@@ -158,14 +160,21 @@ def identify_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], id_c
             good = known & bool(languages)
             names = [languages[b] if g else UNKNOWN for b, g in zip(best, good, strict=True)]
             said = [",".join(f"{languages[j]}={s[j]:.3f}" for j in np.argsort(-s, kind="stable") if s[j] > 0) if g else "" for s, g in zip(shares, good, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(good, top, 0.0)), pa.array(np.where(good, (shares > 0).sum(1), 0).astype(np.int32)), pa.array(said, pa.string())],
-                ["doc_id", "lang_pred", "score", "n_languages", "mixture"],
-            )
+            own = [batch.column(k) for k in range(len(keep))]
+            new = [pa.array(names, pa.string()), pa.array(np.where(good, top, 0.0)), pa.array(np.where(good, (shares > 0).sum(1), 0).astype(np.int32)), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays([*own, *new], [*keep, *made])
 
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, n_languages int, mixture string"])
     return rows.mapInArrow(judge, schema)
 
 
+def identify_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", rules: MixtureRules = MixtureRules()) -> DataFrame:
+    """doc_id and the columns of with_languages()."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("__l_text"))
+    return with_languages(rows, fitted, "__l_text", rules).drop("__l_text")
+
+
 def held_out(id_col: Column) -> Column:
     """Rows kept from training: crc32 of the id as text, modulo 3, is 1.  A null id is not held out."""
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))

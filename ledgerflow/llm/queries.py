@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media_columns, packing, quality_rules, sentencepieces, substring_dedup, token_index, url_filter
+from . import language_id, media_columns, ngram_join, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, token_index, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,11 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read_token_shards(manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 90 % of their 3-word shingles."""
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over documents."""
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +53,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings of earlier documents."""
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as AVI motion-JPEG and back."""
     out = media_columns.decode_media(media_columns.encode_media(_table(spark, sf_dir, "documents")))
@@ -69,7 +79,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_index, op3_quality_rules, op4_packing, op5_substring_dedup, op6_url_filter, op8_media_columns, op9_language_id, op10_sentencepiece]
+    found = [op1_token_index, op2_ngram_join, op3_quality_rules, op4_packing, op5_substring_dedup, op6_url_filter, op7_suffix_dedup, op8_media_columns, op9_language_id, op10_sentencepiece]
     return {f.__name__: f for f in found}
 
 

@@ -1,3 +1,59 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline: (spark, docs, sf_dir) -> rows; all but the last return the columns of docs."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import language_id, ngram_join, packing, quality_rules, substring_dedup
+from .queries import vocabulary
+
+#: A document goes if no language explains this share of its text.
+MIN_SHARE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep."""
+    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; learned from those of them that aren't held out."""
+    fitted = language_id.fit_languages(docs.where(~language_id.held_out(F.col("doc_id"))), "text", "lang")
+    judged = language_id.with_languages(docs, fitted)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the least doc_id (one row of it, if rows repeat); rows without an id stay
+    only if their group has none with an id."""
+    groups = ngram_join.ngram_components(docs, rules=ngram_join.JoinRules(words=5, percent=80))
+    kept = groups.where("component_id is null or doc_id = component_id").groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
+    some = docs.where("doc_id is not null").withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    first = some.join(kept.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__k")), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi").dropDuplicates(["doc_id"])
+    loose = groups.where("doc_id is null and component_id is null").select(F.col("tkey").alias("__k")).distinct()
+    rest = docs.where("doc_id is null").withColumn("__key", F.xxhash64(F.col("text").cast("string"))).join(loose, F.col("__key") == F.col("__k"), "left_semi")
+    return first.unionByName(rest).select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 13-word windows of earlier ones; n_chars follows the new text."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = substring_dedup.substring_dedup(docs, carry=others).withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of documents and their places in sequences."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("language_id", language_stage),
+    ("ngram_join", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
