@@ -25,11 +25,12 @@ from .tokens import encoder
 
 @dataclass(frozen=True)
 class PackRules:
-    """rounds: price updates; rate: how fast a covered length gets cheaper; near: configurations this close to the best are taken."""
+    """rounds: price updates; rates: how fast a covered length gets cheaper (tried in turn until the result meets the lower
+    bound, the best stays); near: configurations this close to the best are taken."""
 
     capacity: int = 2048
     rounds: int = 16
-    rate: float = 1.0
+    rates: tuple[float, ...] = (1.0, 0.2, 0.05, 0.0)
     near: float = 0.02
 
 
@@ -62,6 +63,21 @@ def _unfold(last: np.ndarray, room: int) -> dict[int, int]:
 def solve_configurations(counts: np.ndarray, rules: PackRules = PackRules()) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration as (length, how many) pairs, number of sequences)], covering counts[length] pieces exactly."""
     c = rules.capacity
+    least = max(-(-int((counts * np.arange(c + 1)).sum()) // c), int(counts[c // 2 + 1 :].sum()))
+    best: list = []
+    for rate in rules.rates:
+        plan = _solve(counts, rules, rate) if rate else _place_rest(counts.astype(np.int64).copy(), c)
+        total = sum(times for _, times in plan)
+        if not best or total < sum(times for _, times in best):
+            best = plan
+        if total <= least:
+            break
+    return best
+
+
+def _solve(counts: np.ndarray, rules: PackRules, rate: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The linear program by multiplicative weights, rounded down, and the rest placed."""
+    c = rules.capacity
     left = counts.astype(float).copy()
     shares: dict[tuple[tuple[int, int], ...], float] = {}
     lengths = np.flatnonzero(counts)
@@ -70,7 +86,7 @@ def solve_configurations(counts: np.ndarray, rules: PackRules = PackRules()) ->
         live = lengths[left[lengths] > 1e-9]
         if not len(live):
             break
-        price = live * (1 + 0.05 * live / c) * np.exp(-rules.rate * covered[live] / counts[live])
+        price = live * (1 + 0.05 * live / c) * np.exp(-rate * covered[live] / counts[live])
         best, last = _fill_table(live, price, c)
         worth = price + best[c - live]
         share = 1.0 / (rules.rounds - r)
