@@ -8,7 +8,8 @@ count by itself, and summed; the sum decides exactly.
 
 Copies (equal sets) are one node from the start.  In a group of near copies not every pair is made: each fragment's
 most connected node is compared with the others first, links are contracted to components, and only pairs whose
-components still differ are compared after that.  A pair in one component can't change any component.
+components still differ are compared after that.  A pair in one component can't change any component.  Before the
+overlap of a pair is counted, parity maps of 512 bits rule out pairs that differ in too many n-grams.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .bytekernels import ASCII_LOWER, lean, mix, slices, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes
 from .components import components
-from .store import written
+from .store import tidy, written
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,30 @@ def signatures(h: np.ndarray, doc: np.ndarray, n_docs: int, percent: int) -> tup
     return size, node, np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(docs) if docs else np.zeros(0, np.int64)
 
 
+#: 64-bit words of a parity map: each n-gram turns one bit, so two maps differ in at most as many bits as the sets do in
+#: n-grams.  For large sets the bound is loose, never wrong.
+PARITY = tuple(f"p{i}" for i in range(8))
+
+
+def parity_maps(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """(documents x 8) uint64 parity maps."""
+    out = np.zeros((n_docs, len(PARITY)), np.uint64)
+    if len(h):
+        size = np.bincount(doc, minlength=n_docs)
+        full = np.flatnonzero(size)
+        bit = (mix(h ^ np.uint64(0x3C79AC492BA7B653)) & np.uint64(64 * len(PARITY) - 1)).astype(np.int64)
+        one = np.zeros((len(h), len(PARITY)), np.uint64)
+        one[np.arange(len(h)), bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
+        out[full] = np.bitwise_xor.reduceat(one, (np.cumsum(size) - size)[full], axis=0)
+    return out
+
+
+def _near_enough(a: str, b: str, na: str, nb: str, percent: int) -> Column:
+    """False only if the parity maps a_p0.. and b_p0.. prove that the sets differ in too many n-grams."""
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in PARITY), F.lit(0))
+    return apart * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def _can_link(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -174,9 +199,11 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             for a, b, part, places in slices(data, offsets):
-                size, node, key, doc = signatures(*ngram_sets(part, places, rules.words), b - a, p)
+                h, of = ngram_sets(part, places, rules.words)
+                size, node, key, doc = signatures(h, of, b - a, p)
                 n, zero = b - a, np.zeros(b - a, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), batch.column(0).slice(a, n), batch.column(1).slice(a, n)], ["kind", "b", "node", "n", "doc", "tkey"])
+                maps = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in parity_maps(h, of, n).T]
+                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(zero), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), batch.column(0).slice(a, n), batch.column(1).slice(a, n), *maps], names)
                 keep = sketch.repeated(shared.value, key, bits)
                 key, doc = key[keep], doc[keep]
                 order = np.lexsort((node[doc], key))
@@ -185,11 +212,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 new[1:] = (key[1:] != key[:-1]) | (node[doc[1:]] != node[doc[:-1]])  # copies in a batch are one row
                 key, doc = key[new], doc[new]
                 none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(node[doc].view(np.int64)), pa.array(size[doc].astype(np.int64)), none, none], ["kind", "b", "node", "n", "doc", "tkey"])
-
-    rows = written(docs.mapInArrow(lean(second), "kind int, b long, node long, n long, doc long, tkey long"), "signatures")
-    every = rows.where("kind = 0").select("doc", "tkey", "node", "n")
-    nodes = written(every.where("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tkey")).alias("r")).select("node", "n", "r.doc", "r.tkey"), "nodes")
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(node[doc].view(np.int64)), pa.array(size[doc].astype(np.int64)), *[none] * (2 + len(PARITY))], names)
+
+    names = ["kind", "b", "node", "n", "doc", "tkey", *PARITY]
+    tidy(df.sparkSession)
+    rows = written(docs.mapInArrow(lean(second), "kind int, " + ", ".join(f"{c} long" for c in names[1:])), "signatures")
+    # equal sets have equal parity maps, so any of them will do
+    every = rows.where("kind = 0").select("doc", "tkey", "node", "n", *PARITY)
+    nodes = written(every.where("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tkey")).alias("r"), *(F.first(c).alias(c) for c in PARITY)).select("node", "n", "r.doc", "r.tkey", *PARITY), "nodes")
     distinct = written(rows.where("kind = 1").groupBy("b", "node").agg(F.first("n").alias("n")), "distinct")
     several = written(distinct.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b"), "several")
     members = written(distinct.join(several, "b"), "members")
@@ -212,6 +242,8 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
     active = members.select("node").distinct().join(nodes, "node").select("doc", "tkey")
     texts = docs.join(active.withColumnsRenamed({"doc": "d", "tkey": "k"}), docs["doc"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("k")), "left_semi")
     tokens = written(_tokens(texts, rules), "tokens")
+    tidy(docs.sparkSession)
+    maps = nodes.select("node", *PARITY)
     degree = members.groupBy("node").agg(F.count("*").alias("deg"))
     ranked = written(members.join(degree, "node"), "ranked")
     links, labels = None, none
@@ -219,9 +251,14 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
     def with_labels() -> DataFrame:
         return ranked.join(labels, "node", "left").select("b", "node", "n", "deg", F.coalesce("label", "node").alias("label"))
 
+    def mapped(df: DataFrame, node: str, prefix: str) -> DataFrame:
+        return df.join(maps.select(F.col("node").alias(node), *(F.col(c).alias(f"{prefix}{c}") for c in PARITY)), node)
+
     def add(pairs: DataFrame) -> bool:
         nonlocal links, labels
-        pairs = written(pairs, "pairs")
+        near = mapped(mapped(pairs, "u", "a_"), "v", "b_").where(_near_enough("a_", "b_", "nu", "nv", p))
+        pairs = written(near.select("u", "nu", "v", "nv"), "pairs")
+        tidy(docs.sparkSession)
         if pairs.isEmpty():
             return False
         new = written(_verified(pairs, tokens, p), "links")
@@ -229,10 +266,11 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
         labels = components(links)
         return True
 
-    def pairs_of(one: DataFrame, other: DataFrame) -> DataFrame:
-        """Distinct pairs of nodes of a fragment whose components differ and whose sizes allow a link."""
-        o = other.select("b", F.col("node").alias("o"), F.col("n").alias("no"), F.col("label").alias("lo"))
-        met = one.join(o, "b").where((F.col("label") != F.col("lo")) & _can_link(F.col("n"), F.col("no"), p))
+    def pairs_of(one: DataFrame, other: DataFrame, close: bool = False) -> DataFrame:
+        """Distinct pairs of nodes of a fragment whose components differ and whose sizes (close: and parity maps) allow a link."""
+        o = other.select("b", F.col("node").alias("o"), F.col("n").alias("no"), F.col("label").alias("lo"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in PARITY if close))
+        good = (F.col("label") != F.col("lo")) & _can_link(F.col("n"), F.col("no"), p)
+        met = one.alias("x").join(o.alias("y"), (F.col("x.b") == F.col("y.b")) & good & (_near_enough("a_", "b_", "n", "no", p) if close else F.lit(True)))
         up = F.col("node") < F.col("o")
         pick = lambda a, b, name: F.when(up, F.col(a)).otherwise(F.col(b)).alias(name)
         return met.select(pick("node", "o", "u"), pick("n", "no", "nu"), pick("o", "node", "v"), pick("no", "n", "nv")).distinct()
@@ -246,8 +284,8 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
     # the rest, exactly: in each fragment the nodes outside its largest component with all of another component
     now = written(with_labels(), "rest")
     main = now.groupBy("b", "label").agg(F.count("*").alias("m")).groupBy("b").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").select("b", "main")
-    open_ = written(now.join(written(main, "main"), "b"), "open")
-    add(pairs_of(open_.where("label <> main").drop("main", "deg"), open_))
+    open_ = written(mapped(now.join(written(main, "main"), "b"), "node", "a_"), "open")
+    add(pairs_of(open_.where("label <> main").drop("main", "deg"), open_, close=True))
     return labels
 
 
