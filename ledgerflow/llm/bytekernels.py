@@ -35,15 +35,20 @@ def lean(run: Callable) -> Callable:
 
     def then_trim(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return then_trim
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser on uint64, so that any bits of a hash can serve as a cell number."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

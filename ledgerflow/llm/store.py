@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytekernels import trim
+
 KEY = "spark.checkpoint.dir"
 
 
@@ -36,4 +38,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Lets the driver drop the shuffle files of finished steps, which it does when it collects their handles."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
