@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytekernels import ASCII_LOWER, slices, text_buffer
+from .bytekernels import ASCII_LOWER, lean, slices, text_buffer
 
 UNKNOWN = "und"
 MAX_LANGUAGES = 256
@@ -85,7 +85,7 @@ def fit_languages(df: DataFrame, text_col: str, lang_col: str, rules: MixtureRul
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell, pa.int32()), pa.array(total[cell])], ["lang", "cell", "n"])
 
     rows = df.select(F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").alias("t")).where("l is not null and t is not null")
-    found = rows.mapInArrow(partial, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(lean(partial), schema).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # at most cells rows a language
     languages = sorted(set(table["lang"]))
     if len(languages) > MAX_LANGUAGES:
@@ -166,7 +166,7 @@ def with_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], text_col
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, n_languages int, mixture string"])
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(lean(judge), schema)
 
 
 def identify_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", rules: MixtureRules = MixtureRules()) -> DataFrame:

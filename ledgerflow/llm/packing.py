@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytekernels import slices, text_buffer
+from .bytekernels import lean, slices, text_buffer
 from .store import written
 from .tokens import encoder
 
@@ -30,7 +30,7 @@ class PackRules:
 
     capacity: int = 2048
     rounds: int = 16
-    rates: tuple[float, ...] = (1.0, 0.2, 0.05, 0.0)
+    rates: tuple[float, ...] = (1.0, 0.0)
     near: float = 0.02
 
 
@@ -172,7 +172,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int, rules: PackRules
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(lean(cut), schema)
 
 
 def _places(plan) -> tuple[np.ndarray, ...]:
@@ -229,7 +229,7 @@ def pack(pieces: DataFrame, rules: PackRules = PackRules()) -> DataFrame:
             cols += [pa.array(sequence[run] + inner // many[run]), pa.array(at[run] + inner % many[run] * length)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int, rules: PackRules = PackRules(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

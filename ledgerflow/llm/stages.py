@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, ngram_join, packing, quality_rules, substring_dedup
 from .queries import vocabulary
+from .store import tidy
 
 #: A document goes if no language explains this share of its text.
 MIN_SHARE = 0.5
@@ -14,11 +15,13 @@ MIN_SHARE = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line-first rules keep."""
+    tidy(spark)
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; learned from those of them that aren't held out."""
+    tidy(spark)
     fitted = language_id.fit_languages(docs.where(~language_id.held_out(F.col("doc_id"))), "text", "lang")
     judged = language_id.with_languages(docs, fitted)
     return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*docs.columns)

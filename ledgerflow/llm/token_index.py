@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytekernels import mix, slices, text_buffer
+from .bytekernels import lean, mix, slices, text_buffer
 from .store import new_path, written
 from .tokens import encoder
 
@@ -178,7 +178,7 @@ def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
     rows = rows.repartitionByRange(shards, "i") if shards else rows.repartitionByRange("i")
     rows = rows.sortWithinPartitions("i", "t")
-    return written(rows.mapInArrow(write, "shard int, ids_uri string, index_uri string, id_bytes int, n_docs long, n_tokens long"), "token-manifest")
+    return written(rows.mapInArrow(lean(write), "shard int, ids_uri string, index_uri string, id_bytes int, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                 open_.close()
 
     spread = based.select("shard", "ids_uri", "index_uri", "id_bytes", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return spread.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from .bytekernels import IS_SPACE
 
 #: Pieces and ids that a worker keeps at most; beyond that it starts a new table.
-MAX_PIECES = 700_000
-MAX_IDS = 6_000_000
+MAX_PIECES = 250_000
+MAX_IDS = 2_500_000
 #: New words that one call encodes together.
 TOGETHER = 400
 
