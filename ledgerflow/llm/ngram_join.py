@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .bytekernels import ASCII_LOWER, lean, mix, slices, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes
 from .components import components
-from .store import tidy, written
+from .store import drop, tidy, written
 
 
 @dataclass(frozen=True)
@@ -218,11 +218,15 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tidy(df.sparkSession)
     rows = written(docs.mapInArrow(lean(second), "kind int, " + ", ".join(f"{c} long" for c in names[1:])), "signatures")
     # equal sets have equal parity maps, so any of them will do
-    every = rows.where("kind = 0").select("doc", "tkey", "node", "n", *PARITY)
+    every = written(rows.where("kind = 0").select("doc", "tkey", "node", "n", *PARITY), "documents")
     nodes = written(every.where("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tkey")).alias("r"), *(F.first(c).alias(c) for c in PARITY)).select("node", "n", "r.doc", "r.tkey", *PARITY), "nodes")
     distinct = written(rows.where("kind = 1").groupBy("b", "node").agg(F.first("n").alias("n")), "distinct")
+    drop(rows)
+    tidy(df.sparkSession)
     several = written(distinct.groupBy("b").agg(F.count("*").alias("m")).where("m > 1").select("b"), "several")
     members = written(distinct.join(several, "b"), "members")
+    drop(distinct, several)
+    tidy(df.sparkSession)
     links = _links(docs, members, nodes, rules)
     # the least id of each component, from one row a node
     labelled = written(nodes.join(links, "node").select("node", "label", "doc"), "labelled")
@@ -239,13 +243,20 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
     none = members.sparkSession.createDataFrame([], "node long, label long")
     if members.isEmpty():
         return none
-    active = members.select("node").distinct().join(nodes, "node").select("doc", "tkey")
-    texts = docs.join(active.withColumnsRenamed({"doc": "d", "tkey": "k"}), docs["doc"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("k")), "left_semi")
-    tokens = written(_tokens(texts, rules), "tokens")
-    tidy(docs.sparkSession)
     maps = nodes.select("node", *PARITY)
+
+    def tokens_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes of pairs, made from one text of each node."""
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(F.col("doc").alias("d"), F.col("tkey").alias("k"))
+        texts = docs.join(asked, docs["doc"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("k")), "left_semi")
+        out = written(_tokens(texts, rules), "tokens")
+        tidy(docs.sparkSession)
+        return out
+
     degree = members.groupBy("node").agg(F.count("*").alias("deg"))
     ranked = written(members.join(degree, "node"), "ranked")
+    drop(members)
+    tidy(docs.sparkSession)
     links, labels = None, none
 
     def with_labels() -> DataFrame:
@@ -261,7 +272,10 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
         tidy(docs.sparkSession)
         if pairs.isEmpty():
             return False
+        tokens = tokens_of(pairs)
         new = written(_verified(pairs, tokens, p), "links")
+        drop(pairs, tokens)
+        tidy(docs.sparkSession)
         links = new if links is None else links.unionByName(new)
         labels = components(links)
         return True
@@ -279,13 +293,19 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRul
         now = written(with_labels(), "round")
         order = F.struct("deg", "node") if r == 0 else F.struct(F.xxhash64("node", F.lit(r)).alias("deg"), F.col("node"))
         pivots = written(now.groupBy("b").agg(F.max_by(F.struct("node", "n", "label"), order).alias("p")).select("b", "p.*"), "pivots")
-        if not add(pairs_of(now, pivots)):
+        more = add(pairs_of(now, pivots))
+        drop(now, pivots)
+        if not more:
             break
     # the rest, exactly: in each fragment the nodes outside its largest component with all of another component
     now = written(with_labels(), "rest")
     main = now.groupBy("b", "label").agg(F.count("*").alias("m")).groupBy("b").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").select("b", "main")
     open_ = written(mapped(now.join(written(main, "main"), "b"), "node", "a_"), "open")
+    drop(now, ranked)
+    tidy(docs.sparkSession)
     add(pairs_of(open_.where("label <> main").drop("main", "deg"), open_, close=True))
+    drop(open_)
+    tidy(docs.sparkSession)
     return labels
 
 

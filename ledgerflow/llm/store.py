@@ -32,7 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and reread: a cut of lineage that outlives executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:
