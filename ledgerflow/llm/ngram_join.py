@@ -10,6 +10,9 @@ Copies (equal sets) are one node from the start.  In a group of near copies not
 most connected node is compared with the others first, links are contracted to components, and only pairs whose
 components still differ are compared after that.  A pair in one component can't change any component.  Before the
 overlap of a pair is counted, parity maps of 512 bits rule out pairs that differ in too many n-grams.
+
+Links are counted after that, all of them: a link never leaves its component, so the sets of each component are cut
+into blocks, and every two blocks are compared whole in one task, which gives counts and no row for a pair.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ from .store import drop, tidy, written
 
 @dataclass(frozen=True)
 class JoinRules:
-    """words: n of the n-grams; percent: least Jaccard similarity; parts: vertical partitions that overlaps are counted in."""
+    """words: n of the n-grams; percent: least Jaccard similarity; parts: vertical partitions that overlaps are counted in;
+    block_rows, block_tokens: mean size of a block of a large component."""
 
     words: int = 3
     percent: int = 90
     parts: int = 4
     pivot_rounds: int = 2
+    block_rows: int = 1024
+    block_tokens: int = 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -176,8 +182,85 @@ def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return total.where((100 + percent) * F.col("overlap") >= percent * (F.col("nu") + F.col("nv"))).select("u", "v", "overlap")
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules = JoinRules()) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id, tkey of every row of df.
+def block_links(tokens: np.ndarray, size: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Links of each set with the sets on the other side, each as often as it has copies.
+
+    tokens: the n-grams of set after set (size of them each); left, right: masks of sets, equal or without a common set.
+    """
+    out = np.zeros(len(size), np.int64)
+    _, col, seen = np.unique(tokens, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    several = seen[col] > 1  # an n-gram of one set is in no overlap
+    col, row = (np.cumsum(seen > 1) - 1)[col[several]], row[several]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    width = max(1024, (1 << 22) // max(1, len(size)))
+    both = np.zeros((len(a), len(b)), np.int64)
+    for begin in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        at = slice(*np.searchsorted(col, [begin, begin + width]))
+        has = np.zeros((len(size), min(width, int(col[-1]) + 1 - begin)), np.float32)
+        has[row[at], col[at] - begin] = 1
+        both += (has[a] @ has[b].T).astype(np.int64)
+    link = (100 + percent) * both >= percent * (size[a][:, None] + size[b][None, :])
+    if np.array_equal(a, b):
+        np.fill_diagonal(link, False)
+        out[a] = link @ copies[a]
+    else:
+        out[a], out[b] = link @ copies[b], link.T @ copies[a]
+    return out
+
+
+def _link_counts(docs: DataFrame, nodes: DataFrame, labels: DataFrame, rules: JoinRules) -> DataFrame:
+    """node, others: rows whose set differs from that of the node and links with it.  labels: node, label."""
+    inside = labels.join(nodes.select("node", "n", "doc", "tkey", "copies"), "node")
+    sized = inside.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / rules.block_rows, F.sum("n") / rules.block_tokens)).cast("int").alias("blocks"))
+    # few components have more than one block
+    info = written(inside.join(F.broadcast(sized.where("blocks > 1")), "label", "left").select("node", "label", "copies", "doc", "tkey", F.coalesce("blocks", F.lit(1)).alias("blocks")), "linked")
+    texts = docs.join(info.select(F.col("doc").alias("d"), F.col("tkey").alias("k")), docs["doc"].eqNullSafe(F.col("d")) & (docs["tkey"] == F.col("k")), "left_semi")
+    whole = written(_tokens(texts, JoinRules(rules.words, rules.percent, parts=1)), "whole-sets")
+    tidy(docs.sparkSession)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = whole.join(info.drop("doc", "tkey"), "node").select("node", "label", "copies", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "tokens")
+
+    def group(key, batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        _, first = np.unique(t["node"].to_numpy(), return_index=True)  # a text that is there twice made its set twice
+        t = t.take(pa.array(first)).combine_chunks()
+        lists = t["tokens"].chunk(0)
+        node, copies, own = (t[c].to_numpy() for c in ("node", "copies", "own"))
+        n = block_links(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), copies, own == key[1], own == key[2], rules.percent)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], ["node", "others"])
+
+    def count(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            turn = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for a, b in zip([0, *turn.tolist()], [*turn.tolist(), batch.num_rows], strict=True):
+                if b > a:
+                    now = tuple(int(k[a]) for k in keys)
+                    if held and now != key:
+                        yield group(key, held)
+                        held = []
+                    key = now
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield group(key, held)
+
+    dealt = placed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    partial = dealt.mapInArrow(lean(count), "node long, others long")
+    out = written(partial.groupBy("node").agg(F.sum("others").alias("others")), "link-counts")
+    drop(info, whole)
+    tidy(docs.sparkSession)
+    return out
+
+
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules = JoinRules(), links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id, tkey and (links) n_links of every row of df.
+
+    n_links is the number of other rows that the row links with, copies and repeated rows included.
 
     component_id is the least doc_id that links lead to, the row's own if it has none; a null or empty text has the
     empty set, which links with nothing.  Rows without an id have the least id of their component, null if it has none.
@@ -219,7 +302,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(docs.mapInArrow(lean(second), "kind int, " + ", ".join(f"{c} long" for c in names[1:])), "signatures")
     # equal sets have equal parity maps, so any of them will do
     every = written(rows.where("kind = 0").select("doc", "tkey", "node", "n", *PARITY), "documents")
-    nodes = written(every.where("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tkey")).alias("r"), *(F.first(c).alias(c) for c in PARITY)).select("node", "n", "r.doc", "r.tkey", *PARITY), "nodes")
+    nodes = written(every.where("n > 0").groupBy("node", "n").agg(F.min(F.struct(F.col("doc").isNull().alias("x"), "doc", "tkey")).alias("r"), *(F.first(c).alias(c) for c in PARITY), F.count("*").alias("copies")).select("node", "n", "r.doc", "r.tkey", "copies", *PARITY), "nodes")
     distinct = written(rows.where("kind = 1").groupBy("b", "node").agg(F.first("n").alias("n")), "distinct")
     drop(rows)
     tidy(df.sparkSession)
@@ -227,14 +310,18 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(distinct.join(several, "b"), "members")
     drop(distinct, several)
     tidy(df.sparkSession)
-    links = _links(docs, members, nodes, rules)
+    labels = _links(docs, members, nodes, rules)
     # the least id of each component, from one row a node
-    labelled = written(nodes.join(links, "node").select("node", "label", "doc"), "labelled")
+    labelled = written(nodes.join(labels, "node").select("node", "label", "doc"), "labelled")
     least = written(labelled.groupBy("label").agg(F.min("doc").alias("component")), "least-ids")
     found = labelled.join(least, "label").select("node", "component")
-    final = written(nodes.select("node", "doc").join(found, "node", "left").select("node", F.coalesce("component", "doc").alias("component")), "components")
+    final = nodes.select("node", "doc", "copies").join(found, "node", "left").select("node", F.coalesce("component", "doc").alias("component"), "copies")
+    if links:
+        final = final.join(_link_counts(docs, nodes, labels, rules), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    final = written(final.drop("copies", "others"), "components")
     out = every.join(final, "node", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("set_id"), "tkey")
+    counted = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("set_id"), "tkey", *counted)
 
 
 def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, rules: JoinRules) -> DataFrame:

@@ -28,8 +28,8 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents that share 90 % of their 3-word shingles."""
-    return ngram_join.ngram_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """Components and numbers of links of documents that share 90 % of their 3-word shingles."""
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

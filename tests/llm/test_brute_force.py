@@ -111,6 +111,27 @@ def test_ngram_join(docs, rows, n, percent):
     assert result(out, "doc_id", "n_shingles", "component_id") == jaccard_components(rows, n, percent)
 
 
+def jaccard_links(rows, n, percent):
+    sets = []
+    for _, t in rows:
+        w = WORDS.findall((t or "").encode().translate(bytes(ngram_join.ASCII_LOWER)))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    links = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    return sorted(((i, len(x), sum(links(x, y) for k, y in enumerate(sets) if k != at)) for at, ((i, _), x) in enumerate(zip(rows, sets, strict=True))), key=repr)
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 1024), (5, 80, 4)])
+def test_ngram_links(spark, docs, rows, empty, n, percent, block):
+    """Every link of a group is counted, however many blocks it has; repeated rows are copies."""
+    rules = ngram_join.JoinRules(words=n, percent=percent, block_rows=block)
+    more = docs.unionByName(docs.where("doc_id between 100 and 140"))
+    twice = rows + [r for r in rows if r[0] is not None and 100 <= r[0] <= 140]
+    want = jaccard_links(twice, n, percent)
+    assert max(r[2] for r in want) > 4
+    assert result(ngram_join.ngram_components(more, rules=rules, links=True), "doc_id", "n_shingles", "n_links") == want
+    assert ngram_join.ngram_components(empty, rules=rules, links=True).count() == 0
+
+
 def test_ngram_join_of_nothing(empty, docs):
     assert ngram_join.ngram_components(empty).count() == 0
     assert ngram_join.ngram_components(docs.where("text is null")).count() == 2
