@@ -37,6 +37,41 @@ def test_planted_groups(spark):
         assert len(got) == 3 and all(len(x) == 1 for x in got.values())
 
 
+def better_codes(label, i, j, p, flow):
+    """Code lengths after every merge of two linked communities and every move of a node to a linked community."""
+    pairs = {(a, b) for a, b in zip(label[i].tolist(), label[j].tolist(), strict=True) if a != b}
+    for a, b in pairs:
+        yield detection._code_length(np.unique(np.where(label == b, a, label), return_inverse=True)[1], i, j, p, flow)
+    for u, v in {*zip(i.tolist(), j.tolist(), strict=True), *zip(j.tolist(), i.tolist(), strict=True)}:
+        if label[u] != label[v]:
+            trial = label.copy()
+            trial[u] = label[v]
+            yield detection._code_length(np.unique(trial, return_inverse=True)[1], i, j, p, flow)
+
+
+def test_no_merge_or_move_shortens_the_code():
+    rng = np.random.default_rng(3)
+    ring = np.arange(200)
+    for i, j in ((ring, (ring + 1) % 200), (rng.integers(0, 150, 450), rng.integers(0, 150, 450))):
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        nodes, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        i, j = at[: len(i)], at[len(i) :]
+        w = np.ones(len(i))
+        p, flow = detection._flow(len(nodes), i, j, w)
+        label = detection.map_equation(i, j, w)
+        assert min(better_codes(label, i, j, p, flow)) >= detection._code_length(label, i, j, p, flow) - 1e-9
+
+
+def test_merges_go_on_past_ten():
+    """30 linked triangles from single nodes: 60 merges."""
+    t = np.arange(90)
+    i = np.concatenate([t, t[::3]])
+    j = np.concatenate([t // 3 * 3 + (t + 1) % 3, (t[::3] + 3) % 90])
+    w = np.concatenate([np.full(90, 10.0), np.full(30, 0.1)])
+    p, flow = detection._flow(90, i, j, w)
+    assert detection._merged(t, i, j, p, flow).tolist() == (t // 3).tolist()
+
+
 def test_split_keeps_noise(spark):
     labels = detection.split_large_communities(planted(spark), CommunityConfig(s_max=4, min_comm_size=2, resolution=0.01))
     assert labels.count() == 24
