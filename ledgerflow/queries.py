@@ -402,6 +402,17 @@ def null_zscore(spark, sf):
     return plain(significance.null_zscore(empty, ev, n_permutations=2).select("motif_type", "null_mean", "null_std"))
 
 
+@query(f"""WITH RECURSIVE {EV}, {_PERM.format(n=MotifConfig().n_permutations)}, {_all_motifs('sh', ('perm_id',))}, nul AS (SELECT motif_type, perm_id, count(*) AS n FROM found GROUP BY 1, 2),
+grid AS (SELECT t, p, coalesce(n, 0) AS n FROM (SELECT unnest(['fanin', 'fanout', 'cycle3', 'relay4', 'split_merge']) AS t) CROSS JOIN (SELECT unnest(range(0, {MotifConfig().n_permutations})) AS p) LEFT JOIN nul ON motif_type = t AND perm_id = p),
+nm AS (SELECT t AS motif_type, avg(n) AS m, stddev_pop(n) AS s FROM grid GROUP BY 1),
+ob AS (WITH RECURSIVE {_all_motifs()} SELECT motif_type, count(*) AS n FROM found GROUP BY 1)
+SELECT motif_type, coalesce(n, 0) AS observed, round(m, 2) AS null_mean, round(s, 2) AS null_std, round((coalesce(n, 0) - m) / (s + 1e-9), 3) AS zscore FROM nm LEFT JOIN ob USING (motif_type)""")
+def motif_zscore(spark, sf):
+    """Real support against the production number of permutations; null_zscore has the null columns of two."""
+    ev = _ev(spark, sf)
+    return plain(significance.null_zscore(motifs.run_all(ev), ev))
+
+
 _STATS = """fs AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: st[i] - st[i - 1]) AS lg, list_transform(range(2, len(st) + 1), lambda i: round(am[i] / am[i - 1], 4)) AS rt FROM found),
 en AS (SELECT motif_type, unnest(list_distinct(nd)) AS node, list_avg(am) AS aa, list_avg(rt) AS ar, list_stddev_pop(rt) AS rs, list_avg(lg) AS al_, list_max(lg) AS ml, CAST(list_sum(al) AS BIGINT) AS na FROM fs),
 ef AS (SELECT node, motif_type, count(*) AS count, avg(aa) AS avg_amount, avg(ar) AS avg_ratio, avg(rs) AS ratio_std, avg(al_) AS avg_lag, CAST(max(ml) AS DOUBLE) AS max_lag, avg(na) AS avg_n_alert_edges, count(*) / any_value(coalesce(dg, 1)) AS freq_by_degree, count(*) / (SELECT sum(amount) FROM ev) AS freq_by_volume

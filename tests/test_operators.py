@@ -168,3 +168,21 @@ def test_shuffle_keeps_each_source_steps(spark):
     out = significance.shuffle_steps(df, 2)
     steps = lambda d: sorted((r.src_node, r.step) for r in d.collect())
     assert steps(out.where("perm_id = 0")) == steps(df) == steps(out.where("perm_id = 1"))
+
+
+def test_zscore_of_real_support(spark):
+    """The query's rows hold real support, and z follows from 30 permutations of the default seed."""
+    df = events(spark, *[(k % 4, k % 5, (k * 3 + 1) % 7, 10.0) for k in range(40) if k % 5 != (k * 3 + 1) % 7])
+    found = motifs.run_all(df)
+    seen = {r.motif_type: r.support for r in significance.count_support(found).collect()}
+    nulls = {}
+    for r in significance.count_support(motifs.run_all(significance.shuffle_steps(df, 30), keys=("perm_id",)), ("perm_id",)).collect():
+        nulls.setdefault(r.motif_type, []).append(r.support)
+    rows = significance.null_zscore(found, df).collect()
+    assert len(rows) == 5 and sum(r.observed for r in rows) == sum(seen.values()) > 0
+    for r in rows:
+        x = nulls.get(r.motif_type, [])
+        x += [0] * (30 - len(x))
+        mean = sum(x) / 30
+        std = (sum((v - mean) ** 2 for v in x) / 30) ** 0.5
+        assert r.observed == seen.get(r.motif_type, 0) and abs(r.zscore - (r.observed - mean) / (std + 1e-9)) < 1e-2 + 1e-6 * abs(r.zscore)
