@@ -503,11 +503,11 @@ cf AS (SELECT cb.window_id, cb.global_cid, size, total_volume / (total + 1e-9) A
 _CF = ("internal_flow", "external_flow", "reciprocity", "sink_concentration", "source_concentration", "avg_layering_score", "total_volume", "alert_ratio", "vol_density", "edge_density")
 
 
-def _features(spark, sf, motif: bool = False) -> DataFrame:
+def _features(spark, sf, find: Callable[..., DataFrame] | None = None) -> DataFrame:
     w, labels = _stand_in(spark, sf)
     counts = None
-    if motif:
-        counts = com.motif_counts(motifs.find_relay4(w, keys=_KEYS), labels, _KEYS)
+    if find:
+        counts = com.motif_counts(find(w, keys=_KEYS), labels, _KEYS)
     return com.community_features(w, labels, com.node_roles(w, keys=_KEYS), counts, _KEYS)
 
 
@@ -532,8 +532,8 @@ _MOTIF_COUNT = f"""m AS ({_chain_sql(False, 'wn', _KEYS)}), mc AS (SELECT window
 
 
 @query(f"WITH {EV}, {_FEATURES}, {_MOTIF_COUNT} SELECT window_id, CAST(global_cid AS BIGINT) AS global_cid, round(coalesce(n, 0) / size, 4) AS motif_enrichment FROM cf LEFT JOIN mc USING (window_id, global_cid)")
-def motif_enrichment(spark, sf):
-    return plain(_features(spark, sf, True).select("window_id", "global_cid", "motif_enrichment"), 4)
+def motif_enrichment(spark, sf, find=motifs.find_relay4):
+    return plain(_features(spark, sf, find).select("window_id", "global_cid", "motif_enrichment"), 4)
 
 
 _SCORE = f"""ps AS (SELECT global_cid, count(DISTINCT window_id) AS n_windows FROM lb WHERE global_cid <> -1 GROUP BY 1), nw AS (SELECT count(DISTINCT window_id) AS n FROM wn),
@@ -543,26 +543,42 @@ sr AS (SELECT *, greatest(0, 0.30 * least(1, internal_flow) + 0.20 * least(1, re
 _LOW = CommunityConfig(global_susp_threshold=0.15)
 
 
-def _scored(spark, sf, cfg=_LOW) -> DataFrame:
+def _scored(spark, sf, cfg=_LOW, find=motifs.find_relay4) -> DataFrame:
     w, labels = _stand_in(spark, sf)
     total = w.select(F.countDistinct("window_id").alias("n")).scalar()
-    return com.score_communities(_features(spark, sf, True), cfg, tracking.persistence(labels), total)
+    return com.score_communities(_features(spark, sf, find), cfg, tracking.persistence(labels), total)
 
 
 @query(f"WITH {EV}, {_FEATURES}, {_MOTIF_COUNT}, {_SCORE} SELECT window_id, CAST(global_cid AS BIGINT) AS global_cid, round(suspicion_score, 4) AS suspicion_score, round(persistence_norm, 4) AS persistence_norm, round(motif_enrichment_norm, 4) AS motif_enrichment_norm, CAST(suspicion_score >= 0.15 AS BIGINT) AS is_suspicious, CAST(internal_flow >= 0.5 AS BIGINT) AS flag_internal_flow, CAST(reciprocity >= 0.3 AS BIGINT) AS flag_reciprocity, CAST(persistence_norm >= 0.3 AS BIGINT) AS flag_persistence, CAST(motif_enrichment >= 1 AS BIGINT) AS flag_motif FROM sr")
-def community_score(spark, sf):
-    return plain(_scored(spark, sf).select("window_id", "global_cid", "suspicion_score", "persistence_norm", "motif_enrichment_norm", "is_suspicious", "flag_internal_flow", "flag_reciprocity", "flag_persistence", "flag_motif"), 4)
+def community_score(spark, sf, find=motifs.find_relay4):
+    return plain(_scored(spark, sf, find=find).select("window_id", "global_cid", "suspicion_score", "persistence_norm", "motif_enrichment_norm", "is_suspicious", "flag_internal_flow", "flag_reciprocity", "flag_persistence", "flag_motif"), 4)
 
 
 @query(f"WITH {EV}, {_FEATURES}, {_MOTIF_COUNT}, {_SCORE} SELECT window_id, CAST(global_cid AS BIGINT) AS global_cid, round(suspicion_score, 4) AS suspicion_score FROM sr WHERE suspicion_score >= 0.15 ORDER BY sr.suspicion_score DESC, window_id, sr.global_cid LIMIT 10")
-def shortlist(spark, sf):
+def shortlist(spark, sf, find=motifs.find_relay4):
     cfg = replace(_LOW, top_k_export=10)
-    return plain(com.shortlist(_scored(spark, sf, cfg), cfg).select("window_id", "global_cid", "suspicion_score"), 4)
+    return plain(com.shortlist(_scored(spark, sf, cfg, find), cfg).select("window_id", "global_cid", "suspicion_score"), 4)
 
 
 @query(f"WITH {EV}, {_FEATURES}, {_MOTIF_COUNT}, {_SCORE} SELECT count(*) AS n_communities, count(*) FILTER (suspicion_score >= 0.15) AS n_suspicious, round(avg(suspicion_score), 4) AS mean_score, round(coalesce(avg(alert_ratio) FILTER (suspicion_score >= 0.15), 0) / (SELECT avg(is_sar) FROM ev), 4) AS aer, count(*) FILTER (suspicion_score >= 0.15 AND alert_ratio < 0.3) AS n_unknown FROM sr")
-def score_summary(spark, sf):
-    return plain(com.score_summary(_scored(spark, sf), _ev(spark, sf), _LOW), 4)
+def score_summary(spark, sf, find=motifs.find_relay4):
+    return plain(com.score_summary(_scored(spark, sf, find=find), _ev(spark, sf), _LOW), 4)
+
+
+# An instance of any type counts for a community of a window if all its nodes are in it.
+_ALL_COUNT = f"""{_all_motifs('wn', _KEYS)}, fn AS (SELECT window_id, motif_type, {_text('ed')} AS ed, unnest(nd) AS node FROM found),
+mi AS (SELECT window_id, motif_type, ed, min(global_cid) AS lo, max(global_cid) AS hi FROM fn JOIN lb USING (window_id, node) GROUP BY 1, 2, 3),
+mc AS (SELECT window_id, lo AS global_cid, count(*) AS n FROM mi WHERE lo = hi AND lo <> -1 GROUP BY 1, 2)"""
+
+
+def _with_all_motifs(name: str) -> None:
+    """The query `name`, which counts relays, once more with all five types."""
+    f, sql = CATALOGUE[name]
+    CATALOGUE[f"{name}_all"] = (lambda spark, sf: f(spark, sf, motifs.run_all), sql.replace("WITH ", "WITH RECURSIVE ", 1).replace(_MOTIF_COUNT, _ALL_COUNT))
+
+
+for _name in ("motif_enrichment", "community_score", "shortlist", "score_summary"):
+    _with_all_motifs(_name)
 
 
 @query(f"WITH {EV}, {_LABELS}, a AS (SELECT node, global_cid AS cid FROM lb WHERE window_id = 1 AND global_cid <> -1), b AS (SELECT node, node % 13 AS gcid FROM lb WHERE window_id = 0), m AS (SELECT cid, gcid, count(*) AS inter FROM a JOIN b USING (node) GROUP BY 1, 2) SELECT CAST(cid AS BIGINT) AS cid, CAST(gcid AS BIGINT) AS gcid, inter, round(inter / (na + nb - inter), 6) AS jaccard FROM m JOIN (SELECT cid, count(*) AS na FROM a GROUP BY 1) USING (cid) JOIN (SELECT gcid, count(*) AS nb FROM b GROUP BY 1) USING (gcid)")
@@ -612,7 +628,7 @@ def detect_infomap(spark, sf):
 @query()
 def full_pipeline(spark, sf):
     ev = _ev(spark, sf)
-    out = pipelines.community_pipeline(ev, window_size=14, window_stride=7, found=motifs.find_cycle3(ev))
+    out = pipelines.community_pipeline(ev, window_size=14, window_stride=7, found=motifs.run_all(ev))
     return plain(out.features)
 
 

@@ -1,10 +1,15 @@
 """Hand-made cases: motifs, windows, loading, weighting, features, scores, tracking."""
 
+import random
+import types
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerflow import queries
 from ledgerflow.config import CommunityConfig, MotifConfig
 from ledgerflow.operators import communities, edges, encoding, motifs, significance, tracking, windows
+from ledgerflow.plans import pipelines
 from ledgerflow.sources import sinks, transactions
 
 EVENTS = "step int, src_node long, dst_node long, amount double, is_sar int, event_id long"
@@ -186,3 +191,32 @@ def test_zscore_of_real_support(spark):
         mean = sum(x) / 30
         std = (sum((v - mean) ** 2 for v in x) / 30) ** 0.5
         assert r.observed == seen.get(r.motif_type, 0) and abs(r.zscore - (r.observed - mean) / (std + 1e-9)) < 1e-2 + 1e-6 * abs(r.zscore)
+
+
+def test_full_pipeline_counts_all_types(spark, sf_dir, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(pipelines, "community_pipeline", lambda ev, **kw: seen.update(kw) or types.SimpleNamespace(features=ev))
+    queries.queries()["full_pipeline"](spark, sf_dir)
+    assert {r.motif_type for r in seen["found"].select("motif_type").distinct().collect()} == set(motifs.MATCHERS)
+
+
+def test_all_types_enrich(spark, tmp_path):
+    """Few nodes in two communities: instances of every type count, as in DuckDB."""
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice([0, 20, 40, 60, 80, 1, 21, 41]), rng.uniform(10.0, 15.0), "click") for k in range(260)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, value double, event_type string")
+    # twelve events a day, so that windows hold several days
+    made.selectExpr("event_id", "user_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(CAST(event_id DIV 12 AS INT), 0, CAST(event_id % 12 AS INT)) AS ts", "value", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    total = {}
+    for name in ("motif_enrichment", "motif_enrichment_all"):
+        got = sorted(tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).select("window_id", "global_cid", "motif_enrichment").collect())
+        want = sorted(con.execute(f"SELECT window_id, global_cid, motif_enrichment FROM ({queries.oracle_sql()[name]})").fetchall())
+        assert [r[:2] for r in got] == [r[:2] for r in want] and got
+        assert all(abs(a[2] - b[2]) < 2e-4 for a, b in zip(got, want, strict=True))
+        total[name] = sum(r[2] for r in got)
+    assert total["motif_enrichment_all"] > total["motif_enrichment"] > 0
