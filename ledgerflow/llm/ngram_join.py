@@ -257,10 +257,11 @@ def _link_counts(docs: DataFrame, nodes: DataFrame, labels: DataFrame, rules: Jo
     return out
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules = JoinRules(), links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id, tkey and (links) n_links of every row of df.
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules = JoinRules(), links: bool = False, labels: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id, tkey, (links) n_links and (labels) label of every row of df.
 
     n_links is the number of other rows that the row links with, copies and repeated rows included.
+    label numbers components, whatever their ids are (null: empty set).
 
     component_id is the least doc_id that links lead to, the row's own if it has none; a null or empty text has the
     empty set, which links with nothing.  Rows without an id have the least id of their component, null if it has none.
@@ -310,17 +311,18 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = written(distinct.join(several, "b"), "members")
     drop(distinct, several)
     tidy(df.sparkSession)
-    labels = _links(docs, members, nodes, rules)
+    linked = _links(docs, members, nodes, rules)
     # the least id of each component, from one row a node
-    labelled = written(nodes.join(labels, "node").select("node", "label", "doc"), "labelled")
+    labelled = written(nodes.join(linked, "node").select("node", "label", "doc"), "labelled")
     least = written(labelled.groupBy("label").agg(F.min("doc").alias("component")), "least-ids")
-    found = labelled.join(least, "label").select("node", "component")
-    final = nodes.select("node", "doc", "copies").join(found, "node", "left").select("node", F.coalesce("component", "doc").alias("component"), "copies")
+    found = labelled.join(least, "label").select("node", "component", "label")
+    final = nodes.select("node", "doc", "copies").join(found, "node", "left").select("node", F.coalesce("component", "doc").alias("component"), "copies", *(["label"] if labels else []))
     if links:
-        final = final.join(_link_counts(docs, nodes, labels, rules), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        final = final.join(_link_counts(docs, nodes, linked, rules), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
     final = written(final.drop("copies", "others"), "components")
     out = every.join(final, "node", "left")
     counted = [F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
+    counted += [F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label")] if labels else []
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("node")).alias("set_id"), "tkey", *counted)
 
 

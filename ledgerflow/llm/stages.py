@@ -28,15 +28,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least doc_id (one row of it, if rows repeat); rows without an id stay
-    only if their group has none with an id."""
-    groups = ngram_join.ngram_components(docs, rules=ngram_join.JoinRules(words=5, percent=80))
-    kept = groups.where("component_id is null or doc_id = component_id").groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
-    some = docs.where("doc_id is not null").withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    first = some.join(kept.select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__k")), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi").dropDuplicates(["doc_id"])
-    loose = groups.where("doc_id is null and component_id is null").select(F.col("tkey").alias("__k")).distinct()
-    rest = docs.where("doc_id is null").withColumn("__key", F.xxhash64(F.col("text").cast("string"))).join(loose, F.col("__key") == F.col("__k"), "left_semi")
-    return first.unionByName(rest).select(*docs.columns)
+    """One row of each group: that with the least doc_id, then the least hash of its text (one of them, if rows repeat);
+    a row without an id stays only if its group has none with an id.  Rows of one id need not be of one group.  Of rows
+    with the empty set, which link with nothing, all but equal ones stay."""
+    groups = ngram_join.ngram_components(docs, rules=ngram_join.JoinRules(words=5, percent=80), labels=True)
+    group = F.coalesce(F.col("label"), F.xxhash64("doc_id", "tkey"))
+    first = groups.groupBy(group.alias("g"), F.col("label").isNull().alias("none")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tkey")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("__id"), F.col("r.tkey").alias("__k"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

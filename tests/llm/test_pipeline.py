@@ -40,3 +40,15 @@ def test_oracle(spark, sf_dir, name):
     columns = [d[0] for d in cursor.description]
     got = [tuple(r[c] for c in columns) for r in queries.queries()[name](spark, sf_dir).collect()]
     assert sorted(got) == sorted(cursor.fetchall())
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    words = lambda a: " ".join(f"w{a}x{k}" for k in range(60))
+    near = lambda a: words(a) + " end"
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, near(1)), (None, words(3)), (None, near(3)), (None, near(2)), (None, words(4)), (3, words(4)), (4, ""), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "").collect()
+    ids = sorted(((r.doc_id, r.text) for r in got if r.doc_id is not None), key=repr)
+    assert ids == sorted([(1, words(1)), (1, words(2)), (3, words(4)), (4, ""), (5, None)], key=repr)
+    assert [r.text for r in got if r.doc_id is None] in ([words(3)], [near(3)])
+    assert dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs.where("doc_id = 99"), "").count() == 0
