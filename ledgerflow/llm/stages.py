@@ -14,9 +14,12 @@ MIN_SHARE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep."""
+    """Documents that the line-first rules keep, without the lines that fail; n_chars follows the new text."""
     tidy(spark)
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    out = quality_rules.quality_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

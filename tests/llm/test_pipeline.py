@@ -52,3 +52,11 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert ids == sorted([(1, words(1)), (1, words(2)), (3, words(4)), (4, ""), (5, None)], key=repr)
     assert [r.text for r in got if r.doc_id is None] in ([words(3)], [near(3)])
     assert dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs.where("doc_id = 99"), "").count() == 0
+
+
+def test_quality_stage_drops_failing_lines(spark):
+    body = "\n".join(" ".join(f"word{k}a{i}" for i in range(12)) + "." for k in range(8))
+    docs = spark.createDataFrame([(1, "Home | News | About | Login\n" + body, 0), (2, body, 0), (3, "too short.", 0), (4, None, 0)], "doc_id long, text string, n_chars int")
+    got = dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got.collect()) == [(1, body, len(body)), (2, body, len(body))]
