@@ -1,14 +1,15 @@
 """Byte-substring dedup by a depth-limited radix sort of suffixes.
 
-Only the first `length` bytes of a suffix count, and suffixes are ordered by most-significant-digit passes, each of
-which goes on with the groups that still hold suffixes of several documents:
+Only the first `length` bytes of a suffix count, and suffixes are grouped by digits in passes, each of which goes on with the groups that still hold suffixes of several documents:
 
 1. The first digit of a suffix is the least `gram`-byte string (by hash) in its first `length` bytes.  Neighbouring
    suffixes share it, so a run of them moves as one row.  A histogram of digits (a merged count-min sketch) finishes
    suffixes whose digit occurs once.
 2. The second digit is the whole run.  In a group of equal runs all but the smallest document are settled.  Smallest
    documents go on only if their first digit has other runs too.
-3. The third pass orders the suffixes of those few runs one by one; equal groups are exactly the repeated strings.
+3. The third pass groups the suffixes of those few runs one by one, by hash; equal groups are the repeated strings.
+
+Passes 2 and 3 order no bytes: removal asks only which suffixes are equal.
 
 Digits that very many tasks hold are dealt by both digits at once, so no group gathers a third of all documents.
 """
