@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerflow.llm.stages import STAGES
 from ledgerflow.llm.store import new_path
 
-#: Language identification, packing and learned models have no SQL; tests compare run() with a brute-force version.
+#: Language identification, packing and learned models have no SQL; tests check stages, not run() against a plain version.
 ORACLE_SQL = None
 
 
