@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one vectorised step takes at most (a longer document is one step).
+#: Bytes of text that one vectorised step takes; longer documents come in overlapping parts (word_slices, byte_slices).
 SLICE_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -23,10 +23,10 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
-_WORD_VALUE = np.where(IS_SPACE, np.uint64(0), BYTE_VALUE)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_LOW_POWERS = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(65535, _BASE)]))
-_HIGH_BASE = np.uint64(pow(int(_BASE), 65536, 2**64))
+_WORD_VALUES = [np.where(IS_SPACE, np.uint64(0), v) for v in (BYTE_VALUE, _RNG.integers(1, 2**64, 256, dtype=np.uint64))]
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_LOW_POWERS = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(65535, np.uint64(b))])) for b in _BASES]
+_HIGH_BASES = [np.uint64(pow(b, 65536, 2**64)) for b in _BASES]
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -80,6 +80,47 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         row = end
 
 
+def word_slices(data: np.ndarray, offsets: np.ndarray, size: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """slices() with the number of words before: a document over twice the limit comes in parts, cut at white space,
+    that overlap by size - 1 words, so each window of `size` words lies whole in exactly one of them."""
+    for row, end, part, places in slices(data, offsets, limit):
+        if len(part) <= 2 * limit:
+            yield row, end, part, places, 0
+            continue
+        begin, before, width = 0, 0, limit
+        while True:
+            stop = begin + width
+            while stop < len(part) and not IS_SPACE[part[stop : stop + 65536]].any():
+                stop += 65536
+            stop = min(len(part), stop)
+            if stop < len(part):
+                stop += int(IS_SPACE[part[stop : stop + 65536]].argmax())
+            edges = np.array([0, stop - begin])
+            if stop == len(part):
+                yield row, end, part[begin:stop], edges, before
+                break
+            starts, _, _ = word_bounds(part[begin:stop], edges)
+            if len(starts) < 2 * size:  # very long words: a longer part
+                width *= 2
+                continue
+            yield row, end, part[begin:stop], edges, before
+            next_ = len(starts) - (size - 1)
+            before += next_
+            begin, width = begin + (int(starts[next_]) if size > 1 else stop - begin), limit
+
+
+def byte_slices(data: np.ndarray, offsets: np.ndarray, size: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """slices() with the number of bytes before: a document over twice the limit comes in parts that overlap by
+    size - 1 bytes, so each string of `size` bytes lies whole in exactly one of them."""
+    for row, end, part, places in slices(data, offsets, limit):
+        if len(part) <= 2 * limit:
+            yield row, end, part, places, 0
+            continue
+        for begin in range(0, len(part) - size + 1, limit):
+            piece = part[begin : begin + limit + size - 1]
+            yield row, end, piece, np.array([0, len(piece)]), begin
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): words are runs without space or TAB..CR; document d has words first[d]:first[d + 1]."""
     inside = np.concatenate([[False], ~IS_SPACE[data], [False]])
@@ -93,14 +134,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A uint64 for each word, of its bytes alone."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, which: int = 0) -> np.ndarray:
+    """A uint64 for each word, of its bytes alone; which: 0 or 1, two independent hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = _WORD_VALUE[data[starts[0] :]] * _LOW_POWERS[place & 0xFFFF]
+    value = _WORD_VALUES[which][data[starts[0] :]] * _LOW_POWERS[which][place & 0xFFFF]
     if place.max(initial=0) > 0xFFFF:
-        high = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()) >> 16, _HIGH_BASE)]))
+        high = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(place.max()) >> 16, _HIGH_BASES[which])]))
         value *= high[place >> 16]
     return mix(np.add.reduceat(value, starts - starts[0]))
 

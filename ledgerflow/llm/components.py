@@ -32,18 +32,14 @@ def components(links: DataFrame) -> DataFrame:
     """node, label of every node of links (u, v): label is the least node that links lead to.  Loops are ignored."""
     edges = written(links.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").select("u", "v").distinct(), "edges")
 
-    def mark(df: DataFrame):
-        r = df.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
-        return r["n"], r["s"]
-
-    before = mark(edges)
-    for _ in range(MAX_STEPS if before[0] else 0):
-        edges = written(_stars(written(_stars(edges, True), "large"), False), "small")
-        now = mark(edges)
-        if now == before:
+    if edges.isEmpty():
+        return written(edges.select(F.col("u").alias("node"), F.col("v").alias("label")), "labels")
+    for _ in range(MAX_STEPS):
+        now = written(_stars(written(_stars(edges, True), "large"), False), "small")
+        same = now.count() == edges.count() and now.join(edges, ["u", "v"], "left_anti").isEmpty()  # both have distinct rows
+        edges = now
+        if same:
             break
-        before = now
     else:
-        if before[0]:
-            raise RuntimeError("components didn't settle")
+        raise RuntimeError("components didn't settle")
     return written(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels")

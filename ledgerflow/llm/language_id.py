@@ -2,7 +2,8 @@
 
 Each language is a distribution over hashed byte trigrams.  For a document, expectation-maximisation estimates the
 proportions of the languages that best explain its trigrams; the set of languages grows greedily while the penalised
-likelihood (Bayesian information criterion) improves.  The model is a (cells x languages) table of fixed size.
+likelihood (Bayesian information criterion) improves.  The model is a (cells x languages) table: 32 kB a language, so
+several thousand languages fit a worker; its size doesn't follow the number of rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from .bytekernels import ASCII_LOWER, lean, slices, text_buffer
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 256
 
 
 @dataclass(frozen=True)
@@ -88,8 +88,6 @@ def fit_languages(df: DataFrame, text_col: str, lang_col: str, rules: MixtureRul
     found = rows.mapInArrow(lean(partial), schema).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # at most cells rows a language
     languages = sorted(set(table["lang"]))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is meant for {MAX_LANGUAGES} at most")
     counts = np.zeros((rules.cells, max(1, len(languages))))
     place = {x: i for i, x in enumerate(languages)}
     counts[table["cell"].to_numpy(int), [place[x] for x in table["lang"]]] = table["n"].to_numpy(float)
