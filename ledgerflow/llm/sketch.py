@@ -82,13 +82,13 @@ def partition_sketch(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.Rec
         yield from flush(held)
 
 
-#: A cell is hot if this many flushes of tasks have hit it.
-HOT = 64
+#: A cell is hot if this many flushes of tasks have hit it; hot cells are told in runs of 2**HOT_SHIFT.
+HOT, HOT_SHIFT = 64, 5
 
 
-def merged(sketches: DataFrame, bits: int, hot: bool = False) -> np.ndarray:
-    """(DEPTH, cells / 8) packed bits: cells hit twice or more by all partition sketches together (hot: then the same
-    for cells that HOT flushes have hit)."""
+def merged(sketches: DataFrame, bits: int, hot: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(DEPTH, cells / 8) packed bits: cells hit twice or more by all partition sketches together; hot: and the same,
+    coarser, for cells that HOT flushes have hit."""
     width = max(1, (1 << bits) // RANGES)
 
     def merge(batches):
@@ -101,15 +101,18 @@ def merged(sketches: DataFrame, bits: int, hot: bool = False) -> np.ndarray:
                 count[at] = np.where(n > 0, 128, 0) | np.minimum((n & 127) + 1, HOT)
                 count[many] |= 128
         for part, count in state.items():
-            packed = [np.packbits(x, bitorder="little").tobytes() for x in (count >= 128, (count & 127) >= HOT)[: 1 + hot]]
+            packed = [np.packbits(count >= 128, bitorder="little").tobytes()]
+            if hot:
+                packed.append(np.packbits(((count & 127) >= HOT).reshape(-1, 1 << HOT_SHIFT).any(1), bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.list_(pa.binary()))], ["part", "bits"])
 
-    out = np.zeros((DEPTH * (1 + hot), max(1, (1 << bits) // 8)), np.uint8)
+    out = [np.zeros((DEPTH, (1 << b) // 8), np.uint8) for b in (bits, bits - HOT_SHIFT)[: 1 + hot]]
     for r in sketches.repartition(DEPTH * RANGES, "part").mapInArrow(lean(merge), "part int, bits array<binary>").collect():  # of fixed size
         row, k = divmod(r["part"], RANGES)
-        for i, packed in enumerate(r["bits"]):
-            out[i * DEPTH + row, k * width // 8 : (k + 1) * width // 8] = np.frombuffer(packed, np.uint8)
-    return out
+        for table, packed in zip(out, r["bits"], strict=True):
+            n = table.shape[1] // RANGES
+            table[row, k * n : (k + 1) * n] = np.frombuffer(packed, np.uint8)
+    return out[0], out[1] if hot else None
 
 
 def repeated(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -122,10 +125,17 @@ def repeated(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: float, hot: bool = False) -> tuple[Broadcast, int]:
-    """The merged sketch of the hashes that `hashes_of` yields for each batch of df, broadcast, and its bits."""
+    """The merged sketch of the hashes that `hashes_of` yields for each batch of df, broadcast, and its bits.  With hot,
+    the broadcast value is the pair of merged()."""
     bits = bits_for(expected)
     found = df.mapInArrow(lean(lambda batches: partition_sketch((h for b in batches for h in hashes_of(b)), bits)), SKETCH_SCHEMA)
-    return df.sparkSession.sparkContext.broadcast(merged(found, bits, hot)), bits
+    one, two = merged(found, bits, hot)
+    return df.sparkSession.sparkContext.broadcast((one, two) if hot else one), bits
+
+
+def frequent(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """True where very many tasks may have a hash (never False where HOT flushes have it); table: of hot cells."""
+    return repeated(table, hashes, bits - HOT_SHIFT)
 
 
 def total_bytes(df: DataFrame, column: str) -> float:

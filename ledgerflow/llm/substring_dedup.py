@@ -1,15 +1,16 @@
 """Substring dedup on word windows: words that an earlier document already has in a window are removed.
 
 Method: each task sketches its window hashes; the merged count-min sketch overestimates counts, so windows it calls
-single are single.  The second pass groups only the others, exactly (by 96 bits of hash).  Inside a batch of documents
-all but the smallest document of a window are settled at once, so a window that a third of all documents share sends
-one row for each batch into its group, not one for each document.
+single are single.  The second pass groups only the others, exactly (by 96 bits of two independent hashes of their
+words' bytes).  Inside a slice of a task all but the smallest document of a window are settled at once.  Windows that
+very many tasks have are dealt by document as well; the few smallest documents that come out of that are grouped once
+more, by partial minima.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .bytekernels import lean, mix, slices, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes
+from .bytekernels import lean, mix, text_buffer, valid_windows, window_hashes, word_bounds, word_hashes, word_slices
 from .store import tidy, written
 
 _MIDDLE = 1 << 31
-Windows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Groups that a window of very many tasks is dealt to.
+SALTS = 200
 
 
 @dataclass(frozen=True)
@@ -33,14 +35,12 @@ class WindowRules:
     bytes_a_word: float = 6.0
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, second hash, document, first word in its document) of every window of a slice."""
+def _windows(data: np.ndarray, offsets: np.ndarray, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first word in its document) of every window of a slice."""
     starts, _, first = word_bounds(data, offsets)
-    words = word_hashes(data, starts)
+    words = word_hashes(data, starts, which)
     at, doc = valid_windows(first, size, len(words))
-    one = window_hashes(words, size)[at]
-    two = window_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), size)[at]
-    return one, two, doc, at - first[:-1][doc]
+    return window_hashes(words, size)[at], doc, at - first[:-1][doc]
 
 
 def local_first(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,12 @@ def local_first(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarr
     return order[~later], order[later]
 
 
-def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tkey: np.ndarray, at: np.ndarray, settled: bool) -> pa.RecordBatch:
+def salts(hot: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't hot, else 1 to SALTS by id."""
+    return np.where(hot, 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int16), 0).astype(np.int16)
+
+
+def _rows(h: np.ndarray, g: np.ndarray, salt: np.ndarray, doc: np.ndarray, tkey: np.ndarray, at: np.ndarray, settled: bool) -> pa.RecordBatch:
     """A row for each run of equal (h, g, doc, tkey): x has 32 bits of g and its first place p (-1 - p if settled) from
     _MIDDLE; `more` lists the other places, null if there are none."""
     new = np.ones(len(h), bool)
@@ -64,38 +69,59 @@ def _rows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, tkey: np.ndarray, at: n
     rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(at[~new].astype(np.int32)), mask=pa.array(count == 0))
     place = (_MIDDLE + np.where(settled, -1 - at[first], at[first])).astype(np.uint64)
     x = (g[first] >> np.uint64(32) << np.uint64(32)) | place
-    cols = [pa.array(h[first].view(np.int64)), pa.array(x.view(np.int64)), pa.array(doc[first]), pa.array(tkey[first]), rest]
-    return pa.RecordBatch.from_arrays(cols, ["h", "x", "doc", "tkey", "more"])
+    cols = [pa.array(h[first].view(np.int64)), pa.array(x.view(np.int64)), pa.array(salt[first]), pa.array(doc[first]), pa.array(tkey[first]), rest]
+    return pa.RecordBatch.from_arrays(cols, ["h", "x", "s", "doc", "tkey", "more"])
 
 
-def found_earlier(rows: DataFrame, windows_of: Callable[[pa.RecordBatch], Iterator[Windows]], expected: float) -> DataFrame:
-    """doc, tkey, at, more (further places or null): places of windows that a document with a smaller id has too.
+def removed_starts(docs: DataFrame, rules: WindowRules = WindowRules()) -> DataFrame:
+    """doc, tkey, at, more (further places or null): first words of the windows of docs (doc, tkey, text) that a document
+    with a smaller id has too."""
+    rows = docs.where("doc is not null").select("doc", "tkey", "text")
 
-    windows_of yields, for parts of a batch, arrays of two hashes, the document's id, its tkey and the place of each
-    window.  `expected` windows only size the sketch.
-    """
-    shared, bits = sketch.build(rows, lambda batch: (w[0] for w in windows_of(batch)), expected)
+    def parts(batch):
+        data, offsets = text_buffer(batch.column(2))
+        for a, _, part, places, before in word_slices(data, offsets, rules.window):
+            yield a, part, places, before
+
+    def hashes_of(batch):
+        for _, part, places, _ in parts(batch):
+            yield _windows(part, places, rules.window)[0]
+
+    shared, bits = sketch.build(rows, hashes_of, sketch.total_bytes(rows, "text") / rules.bytes_a_word, hot=True)
     tidy(rows.sparkSession)
 
     def second(batches):
         for batch in batches:
-            for one, two, ids, tkeys, at in windows_of(batch):
-                keep = sketch.repeated(shared.value, one, bits)
-                one, two, ids, tkeys, at = one[keep], two[keep], ids[keep], tkeys[keep], at[keep]
-                open_, later = local_first((one, two), ids)
+            ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, part, places, before in parts(batch):
+                one, doc, at = _windows(part, places, rules.window)
+                keep = sketch.repeated(shared.value[0], one, bits)
+                if not keep.any():
+                    continue
+                one, two = one[keep], _windows(part, places, rules.window, 1)[0][keep]
+                own, key, at = ids[doc[keep] + a], tkeys[doc[keep] + a], at[keep] + before
+                open_, later = local_first((one, two), own)
                 if len(open_):
-                    yield _rows(one[open_], two[open_], ids[open_], tkeys[open_], at[open_], False)
+                    salt = salts(sketch.frequent(shared.value[1], one[open_], bits), own[open_])
+                    yield _rows(one[open_], two[open_], salt, own[open_], key[open_], at[open_], False)
                 if len(later):  # settled: one row for each document, in a group of its own
-                    later = later[np.lexsort((at[later], tkeys[later], ids[later]))]
-                    own = mix(ids[later].view(np.uint64) ^ mix(tkeys[later].view(np.uint64)))
-                    yield _rows(own, own, ids[later], tkeys[later], at[later], True)
+                    later = later[np.lexsort((at[later], key[later], own[later]))]
+                    h = row_hashes(own[later], key[later])
+                    yield _rows(h, h, np.zeros(len(h), np.int16), own[later], key[later], at[later], True)
 
-    found = rows.mapInArrow(lean(second), "h long, x long, doc long, tkey long, more array<int>").repartition("h")
+    found = rows.mapInArrow(lean(second), "h long, x long, s short, doc long, tkey long, more array<int>").repartition("h", "s")
     at = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(_MIDDLE)
-    found = found.select("h", F.shiftright("x", 32).alias("g"), at.cast("int").alias("at"), "doc", "tkey", "more")
-    least = F.min(F.when(F.col("at") >= 0, F.col("doc"))).over(Window.partitionBy("h", "g"))
-    chosen = found.withColumn("least", least).where("at < 0 or doc > least")
-    return chosen.select("doc", "tkey", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"), "more")
+    found = found.select("h", F.shiftright("x", 32).alias("g"), "s", at.cast("int").alias("at"), "doc", "tkey", "more")
+    least = F.min(F.when(F.col("at") >= 0, F.col("doc"))).over(Window.partitionBy("h", "g", "s"))
+    gone = (F.col("at") < 0) | (F.col("doc") > least)
+    found = found.withColumn("gone", gone).where("gone or s > 0")
+    place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
+    found = written(found.select(*(F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("h", "g")), "doc", "tkey", place.alias("at"), "more"), "window-rows")
+    tidy(rows.sparkSession)
+    # the smallest documents of each salt: a few for a window, met by partial minima
+    open_ = found.where("h is not null")
+    met = open_.join(open_.groupBy("h", "g").agg(F.min("doc").alias("least")), ["h", "g"]).where("doc > least")
+    return found.where("h is null").select("doc", "tkey", "at", "more").unionByName(met.select("doc", "tkey", "at", "more"))
 
 
 def row_hashes(ids: np.ndarray, tkeys: np.ndarray) -> np.ndarray:
@@ -124,20 +150,6 @@ def split_touched(docs: DataFrame, touched: DataFrame) -> tuple[DataFrame, Calla
     return docs.mapInArrow(lean(lambda batches: (pick(b, True) for b in batches)), docs.schema), lambda batches: (pick(b, False) for b in batches)
 
 
-def removed_starts(docs: DataFrame, rules: WindowRules = WindowRules()) -> DataFrame:
-    """found_earlier() for the word windows of docs (doc, tkey, text); at is a window's first word."""
-    rows = docs.where("doc is not null").select("doc", "tkey", "text")
-
-    def windows_of(batch):
-        ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        data, offsets = text_buffer(batch.column(2))
-        for a, _, part, places in slices(data, offsets):
-            one, two, doc, at = _windows(part, places, rules.window)
-            yield one, two, ids[doc + a], tkeys[doc + a], at
-
-    return found_earlier(rows, windows_of, sketch.total_bytes(rows, "text") / rules.bytes_a_word)
-
-
 def keyed_texts(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc, tkey, text (and __c_0, ... for the columns `carry`): tkey tells rows with one id but different texts apart; it is 0 where ids don't repeat, which
     one count of ids decides, so that the many rows that carry it compress."""
@@ -163,7 +175,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_words, n_removed, kept_sha256, (keep_text) kept_text and the columns `carry` of every row of df.
 
     A null or empty text has no words and nothing is removed; a row without an id takes no part and stays whole.
-    Repeated rows (one id) are never "smaller" than each other: each loses what smaller ids have.
+    Repeated rows and other ties (rows of one id) are never "smaller" than each other: each loses what smaller ids have.
+    Texts are taken whole, very long ones in parts that overlap by a window less a word; an empty table gives an empty
+    one.  A column in `carry` must not have the name of a result; other columns of df, whatever their names, aren't looked at.
     """
     docs = keyed_texts(df, id_col, text_col, carry)
     starts = removed_starts(docs, rules)

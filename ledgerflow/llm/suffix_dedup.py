@@ -1,17 +1,19 @@
 """Byte-substring dedup by a depth-limited radix sort of suffixes.
 
-Only the first `length` bytes of a suffix count, and suffixes are grouped by digits in passes, each of which goes on with the groups that still hold suffixes of several documents:
-
-1. The first digit of a suffix is the least `gram`-byte string (by hash) in its first `length` bytes.  Neighbouring
-   suffixes share it, so a run of them moves as one row.  A histogram of digits (a merged count-min sketch) finishes
-   suffixes whose digit occurs once.
-2. The second digit is the whole run.  In a group of equal runs all but the smallest document are settled.  Smallest
-   documents go on only if their first digit has other runs too.
-3. The third pass groups the suffixes of those few runs one by one, by hash; equal groups are the repeated strings.
-
-Passes 2 and 3 order no bytes: removal asks only which suffixes are equal.
-
-Digits that very many tasks hold are dealt by both digits at once, so no group gathers a third of all documents.
+Only the first `length` bytes of a suffix count.  Suffixes are dealt by digits, most significant first, in passes, each
+of which goes on with what the pass before couldn't finish:
+
+1. The first digit of a suffix is the least `gram`-byte string (by hash) in its first `length` bytes, not its first
+   bytes: neighbouring suffixes then share it, so a run of them moves as one row.  One row a byte position would be many
+   times the input.  A histogram of digits (merged over all tasks) finishes suffixes whose digit occurs once.
+2. Runs are grouped by digit and content.  In a group of equal runs all but the smallest document are finished: each of
+   their suffixes is repeated.  Smallest documents go on only if their first digit has other runs too.
+3. The suffixes of the runs that are left go on one by one.  A histogram of their first `length` bytes finishes those
+   that occur once.  The others are sorted by their bytes, in digits of eight, the first three of which also deal them
+   to tasks: equal neighbours of that order are exactly the repeated strings.
+
+Runs are told apart by 128 bits (64 of the digit, 64 of the content); suffixes by their bytes.  What very many tasks
+hold is dealt by document as well, and the smallest documents that come out are met once more, by partial minima.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
-from .bytekernels import byte_windows, lean, mix, slices, sliding_min, text_buffer
-from .store import tidy, written
-from .substring_dedup import found_earlier, keyed_texts, local_first, split_touched
+from .bytekernels import byte_slices, byte_windows, lean, mix, sliding_min, text_buffer
+from .store import drop, tidy, written
+from .substring_dedup import keyed_texts, local_first, row_hashes, salts, split_touched
 
-SLICE = 1 << 20
 _PLACE_BITS = 30
+#: Bytes of contested runs that one batch of their table holds at most.
+BLOCK_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -47,8 +50,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, rules: SuffixRules) -> tuple[np.
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none, none
-    if len(data) >= 1 << _PLACE_BITS:
-        raise ValueError("a text is over 1 GiB")
     hashes = byte_windows(data, (rules.gram, rules.length))
     digit = mix(hashes[rules.gram])
     keyed = (digit >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | np.arange(len(digit), dtype=np.uint64)
@@ -71,75 +72,142 @@ def _second_pass(rows: DataFrame, rules: SuffixRules) -> DataFrame:
 
     def parts(batch):
         data, offsets = text_buffer(batch.column(2))
-        for a, _, part, places in slices(data, offsets, SLICE):
-            yield a, runs(part, places, rules)
+        for a, _, part, places, before in byte_slices(data, offsets, rules.length):
+            yield a, before, runs(part, places, rules)
 
     expected = sketch.total_bytes(rows, "text") * 2 / (rules.length - rules.gram + 2)
-    shared, bits = sketch.build(rows, lambda batch: (r[0] for _, r in parts(batch)), 2 * expected, hot=True)
+    shared, bits = sketch.build(rows, lambda batch: (r[0] for _, _, r in parts(batch)), 2 * expected, hot=True)
     tidy(rows.sparkSession)
 
     def second(batches):
         for batch in batches:
             ids, tkeys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, found in parts(batch):
-                keep = sketch.repeated(shared.value[: sketch.DEPTH], found[0], bits)
+            for a, before, found in parts(batch):
+                keep = sketch.repeated(shared.value[0], found[0], bits)
                 digit, run, doc, at, n = (x[keep] for x in found)
-                hot = sketch.repeated(shared.value[sketch.DEPTH :], digit, bits)
+                hot = sketch.frequent(shared.value[1], digit, bits)
                 key = np.where(hot, mix(digit ^ mix(run)), digit)
                 open_, later = local_first((digit, run), ids[doc + a])
                 for k, settled in ((open_, False), (later, True)):
                     if len(k):
-                        own = mix(key[k] + doc[k].astype(np.uint64)) if settled else key[k]  # settled rows only pass through
                         row = doc[k] + a
-                        state = np.full(len(k), 2, np.int8) if settled else hot[k].astype(np.int8)
-                        cols = [own.view(np.int64), run[k].view(np.int64), ids[row], tkeys[row], at[k].astype(np.int32), n[k].astype(np.int32), state]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "run", "doc", "tkey", "at", "n", "state"])
-
-    found = rows.mapInArrow(lean(second), "key long, run long, doc long, tkey long, at int, n int, state byte").repartition("key")
-    same, digit = Window.partitionBy("key", "run"), Window.partitionBy("key")
-    unsettled = F.when(F.col("state") < 2, F.col("doc"))
-    found = found.withColumn("least", F.min(unsettled).over(same)).withColumn("low", F.min("run").over(digit)).withColumn("high", F.max("run").over(digit))
-    gone = (F.col("state") == 2) | (F.col("doc") > F.col("least"))
-    contested = ~gone & ((F.col("state") == 1) | (F.col("low") != F.col("high")))
+                        own = row_hashes(ids[row], tkeys[row]) if settled else key[k]  # settled rows only pass through
+                        state = np.full(len(k), -1, np.int16) if settled else salts(hot[k], ids[row])
+                        cols = [own.view(np.int64), run[k].view(np.int64), ids[row], tkeys[row], (at[k] + before).astype(np.int32), n[k].astype(np.int32), state]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "run", "doc", "tkey", "at", "n", "s"])
+
+    found = rows.mapInArrow(lean(second), "key long, run long, doc long, tkey long, at int, n int, s short").repartition("key", "s")
+    same, digit = Window.partitionBy("key", "s", "run"), Window.partitionBy("key", "s")
+    found = found.withColumn("least", F.min(F.when(F.col("s") >= 0, F.col("doc"))).over(same)).withColumn("low", F.min("run").over(digit)).withColumn("high", F.max("run").over(digit))
+    gone = (F.col("s") < 0) | (F.col("doc") > F.col("least"))
+    contested = ~gone & ((F.col("s") > 0) | (F.col("low") != F.col("high")))
     return found.where(gone | contested).select("doc", "tkey", "at", "n", (~gone).alias("contested"))
 
 
-def _contested_suffixes(docs: DataFrame, contested: DataFrame, rules: SuffixRules) -> DataFrame:
-    """doc, tkey, at, more: suffixes of contested runs that a smaller document has too."""
+def _contested_runs(docs: DataFrame, contested: DataFrame, rules: SuffixRules) -> DataFrame:
+    """doc, tkey, at, content of contested runs."""
     lists = written(contested.groupBy("doc", "tkey").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")), "contested")
 
     def contents(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            at = batch.column(3).flatten().to_numpy()
-            size = batch.column(4).flatten().to_numpy() + rules.length - 1
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            flat = data[np.repeat(offsets[:-1][row] + at - ends[:-1], size) + np.arange(ends[-1])]
-            text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at), text], ["doc", "tkey", "at", "content"])
+            every = batch.column(3).flatten().to_numpy()
+            sizes = batch.column(4).flatten().to_numpy().astype(np.int64) + rules.length - 1
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
+            until = np.cumsum(sizes)
+            begin = 0
+            while begin < len(sizes):
+                end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + BLOCK_BYTES, "right")))
+                at, size, row = every[begin:end], sizes[begin:end], rows[begin:end]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                flat = data[np.repeat(offsets[:-1][row] + at - ends[:-1], size) + np.arange(ends[-1])]
+                text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at), text], ["doc", "tkey", "at", "content"])
+                begin = end
 
     hit, _ = split_touched(docs, lists)
     joined = hit.join(lists, ["doc", "tkey"]).select("doc", "tkey", "text", "at", "n")
     pieces = written(joined.mapInArrow(lean(contents), "doc long, tkey long, at int, content binary"), "contested-runs")
     tidy(docs.sparkSession)
+    return pieces
+
+
+def byte_digits(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """The `length` bytes from each place as int64 digits of eight bytes (the last of what is left, then zeros), so
+    that the order of digits is the order of bytes."""
+    out = []
+    for first in range(0, length, 8):
+        digit = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            digit <<= np.uint64(8)
+            if first + k < length:
+                digit |= data[at + (first + k)].astype(np.uint64)
+        out.append((digit ^ np.uint64(1 << 63)).view(np.int64))
+    return out
+
+
+def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
+    """doc, tkey, at of the suffixes of pieces (contested runs) that a smaller document has too."""
+    digits = [f"d{i}" for i in range(-(-rules.length // 8))]
 
-    def windows_of(batch):
-        ids, tkeys, begin = (batch.column(k).to_numpy() for k in range(3))
+    def parts(batch):
         data, offsets = text_buffer(batch.column(3))
-        for a, _, part, places in slices(data, offsets, SLICE):
+        for a, _, part, places, before in byte_slices(data, offsets, rules.length):
             n = len(part) - rules.length + 1
-            if n <= 0:
-                continue
-            h = byte_windows(part, (rules.length,))[rules.length]
-            row = np.repeat(np.arange(len(places) - 1), np.diff(places))[:n]
-            whole = np.flatnonzero(np.arange(n) + rules.length <= places[1:][row])
-            h, row = h[whole], row[whole]
-            yield mix(h), mix(h ^ np.uint64(0x5851F42D4C957F2D)), ids[row + a], tkeys[row + a], begin[row + a] + whole - places[:-1][row]
+            if n > 0:
+                row = np.repeat(np.arange(len(places) - 1), np.diff(places))[:n]
+                whole = np.flatnonzero(np.arange(n) + rules.length <= places[1:][row])
+                yield a + row[whole], whole, before + whole - places[:-1][row[whole]], part, mix(byte_windows(part, (rules.length,))[rules.length][whole])
 
     expected = (rules.length - rules.gram + 1) / 2 * pieces.count()
-    return found_earlier(pieces, windows_of, expected)
+    shared, bits = sketch.build(pieces, lambda batch: (p[4] for p in parts(batch)), expected, hot=True)
+    tidy(pieces.sparkSession)
+
+    def deal(batches):
+        for batch in batches:
+            ids, tkeys, begin = (batch.column(k).to_numpy() for k in range(3))
+            for row, place, at, part, h in parts(batch):
+                keep = sketch.repeated(shared.value[0], h, bits)
+                if not keep.any():
+                    continue
+                row, at, h = row[keep], (begin[row[keep]] + at[keep]).astype(np.int32), h[keep]
+                own, key, d = ids[row], tkeys[row], byte_digits(part, place[keep], rules.length)
+                open_, later = local_first(tuple(d), own)
+                if len(open_):
+                    salt = salts(sketch.frequent(shared.value[1], h[open_], bits), own[open_])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(x[open_] for x in d), salt, own[open_], key[open_], at[open_])], names)
+                if len(later):  # settled: they only pass through
+                    none, through = np.zeros(len(later), np.int64), row_hashes(own[later], key[later]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (through, *[none] * (len(d) - 1), np.full(len(later), -1, np.int16), own[later], key[later], at[later])], names)
+
+    names = [*digits, "s", "doc", "tkey", "at"]
+
+    def meet(batches):
+        """Of sorted rows: those whose equal neighbours begin with a smaller document, and (open) the first of salted ones."""
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            keys, salt, doc = cols[: len(digits) + 1], cols[len(digits)], cols[len(digits) + 1]
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            new[0] = before is None or any(k[0] != b for k, b in zip(keys, before[0], strict=True))
+            group = np.cumsum(new)
+            firsts = np.concatenate([[before[1] if before else 0], doc[new]])
+            gone = (salt < 0) | (doc > firsts[group])
+            before = ([k[-1] for k in keys], firsts[group[-1]])
+            use = pa.array(np.flatnonzero(gone | (salt > 0)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(use) for k in range(len(digits))), pa.array(~gone[gone | (salt > 0)]), *(batch.column(len(digits) + k).take(use) for k in (1, 2, 3))], [*digits, "open", "doc", "tkey", "at"])
+
+    schema = ", ".join(f"{d} long" for d in digits)
+    found = pieces.mapInArrow(lean(deal), f"{schema}, s short, doc long, tkey long, at int").repartition(*digits[:3], "s").sortWithinPartitions(*digits, "s", "doc")
+    met = written(found.mapInArrow(lean(meet), f"{schema}, open boolean, doc long, tkey long, at int"), "suffix-rows")
+    tidy(pieces.sparkSession)
+    open_ = met.where("open")
+    late = open_.join(open_.groupBy(*digits).agg(F.min("doc").alias("least")), digits).where("doc > least")
+    return met.where("not open").select("doc", "tkey", "at").unionByName(late.select("doc", "tkey", "at"))
 
 
 def removed_mask(size: int, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -153,18 +221,20 @@ def removed_mask(size: int, at: np.ndarray, n: np.ndarray, length: int) -> np.nd
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: SuffixRules = SuffixRules(), keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (keep_bytes) spans (array of first byte and end), kept.
 
-    A null text is empty.  A row without an id takes no part and stays whole; rows with one id are never "smaller" than
-    each other.  Strings are those of whole texts as UTF-8 and never cross documents.
+    A null text is empty.  A row without an id takes no part and stays whole; rows with one id (repeated rows and other
+    ties) are never "smaller" than each other.  Strings are those of whole texts as UTF-8 and never cross documents; very
+    long texts are taken in parts that overlap by length - 1 bytes.  An empty table gives an empty one.  Other columns of
+    df, whatever their names, aren't looked at.
     """
     docs = keyed_texts(df, id_col, text_col)
     some = docs.where("doc is not null")
     passed = written(_second_pass(some, rules), "second-pass")
     tidy(df.sparkSession)
-    late = written(_contested_suffixes(some, passed.where("contested").select("doc", "tkey", "at", "n"), rules), "third-pass")
+    pieces = _contested_runs(some, passed.where("contested").select("doc", "tkey", "at", "n"), rules)
+    late = written(_sorted_suffixes(pieces, rules), "third-pass")
+    drop(pieces)
     tidy(df.sparkSession)
-    every = passed.where("not contested").select("doc", "tkey", "at", "n").unionByName(
-        late.select("doc", "tkey", F.explode(F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))).alias("at"), F.lit(1).alias("n"))
-    )
+    every = passed.where("not contested").select("doc", "tkey", "at", "n").unionByName(late.select("doc", "tkey", "at", F.lit(1).alias("n")))
     lists = written(every.groupBy("doc", "tkey").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")), "removed-runs")
     tidy(df.sparkSession)
     hit, rest = split_touched(docs, lists)
