@@ -201,7 +201,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(4 + i) for i in range(len(carry)))], [*names, *carry])
 
     kinds = dict(df.dtypes)
-    lists = written(starts.groupBy("doc", "tkey").agg(F.collect_list("at").alias("one"), F.collect_list("more").alias("more")), "removed-starts")  # numbers of words of one document
+    lists = written(starts.groupBy("doc", "tkey").agg(F.collect_set("at").alias("one"), F.collect_set("more").alias("more")), "removed-starts")  # words of one text, however often it is there
     tidy(df.sparkSession)
     hit, rest = split_touched(docs, lists)
     carried = [f"__c_{i}" for i in range(len(carry))]
