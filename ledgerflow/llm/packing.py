@@ -2,10 +2,12 @@
 
 The driver sees only the histogram of piece lengths (at most `capacity` numbers).  On it stands a configuration linear
 program: as few sequences as possible, each a multiset of lengths that fits.  Multiplicative weights price the lengths,
-an unbounded knapsack by dynamic programming finds the best configurations at those prices, and what the fractional
-solution covers is rounded down.  The rest, a bounded number of pieces for each configuration, is placed by the same
-dynamic program, longest piece first.  Pieces then find their place by their rank among pieces of their length; ranks
-come from salted groups of bounded size, so a length that a third of all pieces share lands in many tasks.
+an unbounded knapsack by dynamic programming finds the best configurations at those prices (full ones, for each length
+that is dear enough), and gives a lower bound of the program besides.  The fractional solution is rounded to whole
+sequences; what rounding leaves is a smaller program of the same kind, solved and rounded again until little is left.
+That rest is placed longest piece first, each sequence filled by the same dynamic program.  Pieces then find their place
+by their rank among pieces of their length; ranks come from salted groups of bounded size, so a length that a third of
+all pieces share lands in many tasks.
 """
 
 from __future__ import annotations
@@ -23,23 +25,56 @@ from .store import written
 from .tokens import encoder
 
 
+Configuration = tuple[tuple[int, int], ...]
+
+
 @dataclass(frozen=True)
 class PackRules:
-    """rounds: price updates; rates: how fast a covered length gets cheaper (tried in turn until the result meets the lower
-    bound, the best stays); near: configurations this close to the best are taken."""
+    """rounds, rate: price updates of one solution (more follow, four times as many at most, while they cover a tenth of
+    what is left), and how fast a covered length gets cheaper, if sequences without a gap come within a thousandth of the
+    bound; fine_rounds, fine_rate, fine_near: the same where they don't, as few lengths or many long ones ask for; near: configurations whose worth at the first prices is this close to the best are taken; phases: solutions at most; rest_percent: share of tokens that may
+    be left to the end; undo_percent: the most of them that may be opened again to come closer to the bound than a
+    thousandth."""
 
     capacity: int = 2048
-    rounds: int = 16
-    rates: tuple[float, ...] = (1.0, 0.0)
-    near: float = 0.02
+    rounds: int = 4
+    rate: float = 0.2
+    fine_rounds: int = 128
+    fine_rate: float = 3.0
+    near: float = 1e-6
+    fine_near: float = 0.1
+    phases: int = 12
+    rest_percent: int = 2
+    undo_percent: int = 10
+
+
+@dataclass(frozen=True)
+class Packing:
+    """plan: configurations ((length, how many), ...) and their numbers of sequences, covering all pieces exactly.
+
+    fractional: value of the program's fractional solution; bound: no packing has fewer sequences; rest_tokens: tokens of
+    pieces that came neither from a solution nor its rounding.
+    """
+
+    plan: list[tuple[Configuration, int]]
+    fractional: float
+    bound: int
+    rest_tokens: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(times for _, times in self.plan)
 
 
-def _fill_table(lengths: np.ndarray, value: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """(best value, length taken last or 0) for every room up to `room`; lengths ascending, each as often as one likes."""
-    best, last = np.zeros(room + 1), np.zeros(room + 1, np.int64)
+def _fill_table(lengths: np.ndarray, value: np.ndarray, room: int, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(best value, length taken last) of filling every room up to `room` exactly, -inf and 0 if that can't be (not exact:
+    of filling it as far as is worth it); lengths ascending, each as often as one likes."""
+    best, last = np.full(room + 1, -np.inf), np.zeros(room + 1, np.int64)
+    best[0] = 0.0
     fits = np.searchsorted(lengths, np.arange(room + 1), "right")
     for c in range(1, room + 1):
-        best[c] = best[c - 1]
+        if not exact:
+            best[c] = best[c - 1]
         if k := fits[c]:
             got = value[:k] + best[c - lengths[:k]]
             i = int(got.argmax())
@@ -49,7 +84,7 @@ def _fill_table(lengths: np.ndarray, value: np.ndarray, room: int) -> tuple[np.n
 
 
 def _unfold(last: np.ndarray, room: int) -> dict[int, int]:
-    """The lengths of the best filling of `room`."""
+    """The lengths of the best filling of `room`; a room that can't be filled is left a little emptier."""
     out: dict[int, int] = {}
     while room > 0:
         if n := int(last[room]):
@@ -60,53 +95,149 @@ def _unfold(last: np.ndarray, room: int) -> dict[int, int]:
     return out
 
 
-def solve_configurations(counts: np.ndarray, rules: PackRules = PackRules()) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(configuration as (length, how many) pairs, number of sequences)], covering counts[length] pieces exactly."""
-    c = rules.capacity
-    least = max(-(-int((counts * np.arange(c + 1)).sum()) // c), int(counts[c // 2 + 1 :].sum()))
-    best: list = []
-    for rate in rules.rates:
-        plan = _solve(counts, rules, rate) if rate else _place_rest(counts.astype(np.int64).copy(), c)
-        total = sum(times for _, times in plan)
-        if not best or total < sum(times for _, times in best):
-            best = plan
-        if total <= least:
-            break
-    return best
+def _priced(lengths: np.ndarray, price: np.ndarray, best: np.ndarray, room: int, have: np.ndarray, exact: bool) -> dict[int, int]:
+    """A filling of `room` by the table's prices from pieces that are there (have, by place in lengths)."""
+    out: dict[int, int] = {}
+    while room > 0:
+        k = int(np.searchsorted(lengths, room, "right"))
+        got = np.where(have[:k] >= 1, price[:k] + best[room - lengths[:k]], -np.inf)
+        i = int(got.argmax()) if k else -1
+        if i < 0 or got[i] == -np.inf or (not exact and got[i] <= best[room - 1]):
+            room -= 1
+            continue
+        out[i] = out.get(i, 0) + 1
+        have[i] -= 1
+        room -= int(lengths[i])
+    for i, a in out.items():
+        have[i] += a
+    return {int(lengths[i]): a for i, a in out.items()}
+
+
+def _first_prices(counts: np.ndarray, c: int) -> tuple[np.ndarray, float]:
+    """(prices of lengths at which the best filling is worth 1, lower bound they give): the best of a few mixtures of the
+    length itself and of being over half a sequence, no two of which share one."""
+    size = np.arange(c + 1)
+    lengths = np.flatnonzero(counts)
+    steps = (2 * size > c).astype(float)
+    found = []
+    for mix in (0.0, 0.25, 0.5, 0.75, 1.0):
+        price = (1 - mix) * size / c + mix * steps
+        price /= max(_fill_table(lengths, price[lengths], c)[0].max(), 1e-300)
+        found.append((float((counts * price).sum()), mix, price))
+    bound, _, price = max(found, key=lambda x: (x[0], -x[1]))
+    return price, bound
 
 
-def _solve(counts: np.ndarray, rules: PackRules, rate: float) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """The linear program by multiplicative weights, rounded down, and the rest placed."""
+def solve_program(counts: np.ndarray, rules: PackRules, full: bool) -> tuple[dict[Configuration, float], float, float]:
+    """(configurations with fractional numbers of sequences, value of that solution, lower bound of the program).
+
+    Multiplicative weights: a length costs less the more of it is covered.  In each round every length gets the best
+    configuration at the prices that the pieces left allow, for its share, if the first prices, those of the best bound,
+    make it a good one.  full: only
+    sequences without a gap.  The knapsack's best value at any prices gives
+    the dual bound.  No configuration takes more of a length than there is; what stays uncovered counts in the
+    value as sequences of one length each.
+    """
     c = rules.capacity
-    left = counts.astype(float).copy()
-    shares: dict[tuple[tuple[int, int], ...], float] = {}
+    left, covered = counts.astype(float), np.zeros(c + 1)
     lengths = np.flatnonzero(counts)
-    covered = np.zeros(c + 1)
-    for r in range(rules.rounds):
-        live = lengths[left[lengths] > 1e-9]
-        if not len(live):
+    shares: dict[Configuration, float] = {}
+    size, before = np.arange(c + 1), np.inf
+    first, bound = _first_prices(counts, c)
+    near = rules.near if full else rules.fine_near
+    rounds, rate = (rules.rounds, rules.rate) if full else (rules.fine_rounds, rules.fine_rate)
+    for r in range(4 * rounds):
+        live, now = lengths[left[lengths] > 1e-9], float((left * size).sum())
+        if not len(live) or (r >= rounds and now > 0.9 * before):
             break
-        price = live * (1 + 0.05 * live / c) * np.exp(-rate * covered[live] / counts[live])
-        best, last = _fill_table(live, price, c)
-        worth = price + best[c - live]
-        share = 1.0 / (rules.rounds - r)
-        found = [(int(n), _unfold(last, c - int(n))) for n, v in zip(live, worth, strict=True) if v >= (1 - rules.near) * worth.max()]
-        for n, rest in sorted(found, key=lambda x: -x[0]):
-            rest[n] = rest.get(n, 0) + 1
-            times = min(left[m] / a for m, a in rest.items())
-            times = min(times, max(share * left[n] / rest[n], min(1.0, times)))
+        before = now
+        price = (first[live] + 0.02 * live / c) * (1 + 0.05 * live / c) * np.exp(-rate * covered[live] / counts[live])
+        best, _ = _fill_table(live, price, c, exact=full)
+        bound = max(bound, float((counts[live] * price).sum() / best.max()))
+        share = 1.0 / max(1, rounds - r)
+        have = left[live]
+        for i in range(len(live) - 1, -1, -1):
+            n = int(live[i])
+            if have[i] < 1:
+                continue
+            have[i] -= 1
+            config = _priced(live, price, best, c - n, have, full)
+            have[i] += 1
+            config[n] = config.get(n, 0) + 1
+            if sum(first[m] * a for m, a in config.items()) < 1 - near:
+                continue  # a sequence that the bound doesn't allow
+            times = min(left[m] / a for m, a in config.items())
+            times = min(times, max(share * left[n] / config[n], min(1.0, times)))
             if times > 1e-9:
-                key = tuple(sorted(rest.items(), reverse=True))
+                key = tuple(sorted(config.items(), reverse=True))
                 shares[key] = shares.get(key, 0.0) + times
-                for m, a in rest.items():
+                for m, a in config.items():
                     left[m] = max(0.0, left[m] - a * times)
+                    have[np.searchsorted(live, m)] = left[m]
                     covered[m] += a * times
-    plan = [(key, int(times + 1e-6)) for key, times in shares.items() if times + 1e-6 >= 1]
-    rest = counts.astype(np.int64).copy()
-    for key, times in plan:
-        for m, a in key:
-            rest[m] -= a * times
-    return plan + _place_rest(rest, c)
+    value = sum(shares.values()) + float((left[lengths] / (c // lengths)).sum())
+    return shares, value, bound
+
+
+def _rounded(shares: dict[Configuration, float], rest: np.ndarray) -> list[tuple[Configuration, int]]:
+    """Whole sequences of a solution, the most frequent configurations first, as far as pieces last (rest is reduced)."""
+    plan = []
+    for key, times in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+        if whole := min(max(1, round(times)), *(int(rest[m]) // a for m, a in key)):
+            plan.append((key, whole))
+            for m, a in key:
+                rest[m] -= a * whole
+    return plan
+
+
+def solve_configurations(counts: np.ndarray, rules: PackRules = PackRules()) -> list[tuple[Configuration, int]]:
+    """[(configuration, number of sequences)], covering counts[length] pieces exactly."""
+    return solve_packing(counts, rules).plan
+
+
+def solve_packing(counts: np.ndarray, rules: PackRules = PackRules()) -> Packing:
+    """solve_configurations() with the figures of its program."""
+    found = _solve_packing(counts, rules, True)
+    if found.sequences > 1.001 * found.bound + 1:
+        fine = _solve_packing(counts, rules, False)
+        found = min(found, fine, key=lambda x: x.sequences)
+    return found
+
+
+def _solve_packing(counts: np.ndarray, rules: PackRules, full: bool) -> Packing:
+    c = rules.capacity
+    counts = counts.astype(np.int64)
+    rest, plan, size = counts.copy(), [], np.arange(c + 1)
+    total, value, bound = int((counts * size).sum()), 0.0, 0.0
+    for phase in range(rules.phases):
+        before = int((rest * size).sum())
+        if before * 100 <= total * rules.rest_percent:
+            break
+        shares, v, b = solve_program(rest, rules, full)
+        if phase == 0:
+            value, bound = v, b
+        plan += _rounded(shares, rest)
+        if int((rest * size).sum()) > 0.9 * before:
+            break
+    least = max(int(np.ceil(bound - 1e-6)), int(counts[c // 2 + 1 :].sum()))
+    best: Packing | None = None
+    while True:
+        left = int((rest * size).sum())
+        found = Packing(plan + _place_rest(rest.copy(), c), value, least, left)
+        if best is None or found.sequences < best.sequences:
+            best = found
+        near = best.sequences <= 1.001 * least + 1
+        if best.sequences <= least or not plan or (near and left * 100 > total * rules.undo_percent / 2):
+            return best
+        # more to place is easier to place: sequences of the smallest pieces are opened again
+        plan = sorted(plan, key=lambda x: (sum(a for _, a in x[0]), x))
+        while plan and int((rest * size).sum()) < 2 * left + c:
+            key, times = plan.pop()
+            opened = min(times, max(1, (2 * left - int((rest * size).sum())) // c))
+            for m, a in key:
+                rest[m] += a * opened
+            if times > opened:
+                plan.append((key, times - opened))
 
 
 def _place_rest(rest: np.ndarray, c: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -147,7 +278,9 @@ def _place_rest(rest: np.ndarray, c: int) -> list[tuple[tuple[tuple[int, int], .
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, end_id: int, rules: PackRules = PackRules(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): documents with the end id, those over the capacity cut so
-    that only the first piece may be shorter.  A null text is empty: one piece with the end id."""
+    that only the first piece may be shorter.  A null text is empty: one piece with the end id.  A row without an id keeps
+    a null doc_id; repeated rows make pieces of their own, other columns are left out, and texts of any length are encoded
+    whole.  Strings of special tokens in a text are those tokens, as the tokenizers library has it by default."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
     c = rules.capacity
 
@@ -193,7 +326,8 @@ def _places(plan) -> tuple[np.ndarray, ...]:
 def pack(pieces: DataFrame, rules: PackRules = PackRules()) -> DataFrame:
     """pieces with sequence_id and offset: every piece once, sequences without gaps from 0, none over the capacity.
 
-    `pieces` is read several times: pass a written table.  Equal rows are different pieces; an empty table stays empty.
+    `pieces` (doc_id, piece, length, ids_crc32 and any others) is read several times: pass a written table.  Equal rows are
+    different pieces, ties of a length are dealt by doc_id, piece and ids_crc32, and an empty table stays empty.
     """
     spark = pieces.sparkSession
     counts = np.zeros(rules.capacity + 1, np.int64)
