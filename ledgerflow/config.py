@@ -1,4 +1,8 @@
-"""Settings of all operators.  Defaults are part of the semantics."""
+"""Settings of all operators.  Names and defaults of the fields are fixed values: they are part of the interface.
+
+Kept, but read by nothing here (windows are arguments of the plans, and no clustering looks back): LoadConfig.window_size
+and window_stride, window_sizes, GraphConfig.min_amount, CommunityConfig.lambda_temporal and stride.
+"""
 
 from __future__ import annotations
 
@@ -88,7 +92,7 @@ class CommunityConfig:
     method: str = "leiden"
     min_comm_size: int = 3
     resolution: float = 1.0
-    lambda_temporal: float = 0.0
+    lambda_temporal: float = 0.3
     s_max: int = 50
     resolution_multiplier: float = 1.5
     max_recursion_depth: int = 3

@@ -1,20 +1,55 @@
-"""Cutting the lineage of loops."""
+"""Tables written once: cutting the lineage of loops, and numbering rows in an order without a sort in one task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+KEY = "spark.checkpoint.dir"
+
+
+def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session (a temporary folder only where that is unset and local)."""
+    context = spark.sparkContext
+    found = spark.conf.get(KEY, None) or context.getConf().get(KEY, None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
+        if not (found := getattr(spark, "_own_folder", None)):
+            found = spark._own_folder = "file://" + tempfile.mkdtemp(prefix="tables-")
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in spark.checkpoint.dir (a temporary folder only where that is unset and local)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df as a table in the shared folder, computed once and reread: it outlives executors, and plans above it are short."""
+    if getattr(df, "_settled", False):
+        return df
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = True
+    return out
+
+
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df dealt by ranges of the columns `order` and sorted, written once: __part numbers the ranges in ascending order,
+    __place the rows of a range from 0."""
+    cols = [F.col(f"`{c}`") for c in order]
+    rows = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id())
+    return settled(rows.withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], name: str, start: Column | int = 0) -> DataFrame:
+    """df with the column `name`: `start` and up in the order of the columns `order`.
+
+    Offsets of ranges come from the same written table as the places in them, so ids have no gaps or doubles.
+    """
+    rows = ranged(df, *order)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    first = sizes.select("__part", (F.coalesce(before, F.lit(0)) + start).alias("__first"))
+    return rows.join(first, "__part").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__first") + F.col("__place")).cast("bigint").alias(name))

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _numbered(values: DataFrame, start) -> DataFrame:
-    """raw_id, node_id in ascending order of raw_id from `start`: ranges are sorted apart and joined to their offsets,
-    so that no task sorts all labels."""
-    parts = values.repartitionByRange("raw_id").sortWithinPartitions("raw_id").withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    parts = parts.withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return parts.join(before, "__p").select("raw_id", (F.col("__b") + F.col("__i") + start).cast("bigint").alias("node_id"))
+from ..functions.tables import numbered
 
 
 def fit(df: DataFrame, columns: tuple[str, ...] = ("src_node", "dst_node"), known: DataFrame | None = None) -> DataFrame:
@@ -24,9 +16,9 @@ def fit(df: DataFrame, columns: tuple[str, ...] = ("src_node", "dst_node"), know
         values = one if values is None else values.unionByName(one)
     values = values.where("raw_id is not null").distinct()
     if known is None:
-        return _numbered(values, F.lit(0))
+        return numbered(values, ("raw_id",), "node_id")
     new = values.join(known, "raw_id", "left_anti")
-    return known.select("raw_id", "node_id").unionByName(_numbered(new, F.lit(known.count())))
+    return known.select("raw_id", "node_id").unionByName(numbered(new, ("raw_id",), "node_id", known.count()))
 
 
 def transform(df: DataFrame, dictionary: DataFrame, columns: tuple[str, ...] = ("src_node", "dst_node"), strict: bool = True) -> DataFrame:

@@ -15,6 +15,12 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
 
 
+def _exact_mean(name: str, places: int) -> Column:
+    """Mean over a group of values rounded to so many places: a sum of whole numbers, so no order of adding changes it."""
+    whole = F.round(F.col(name) * 10**places).cast("decimal(18,0)")
+    return F.try_divide(F.sum(whole).cast("double"), F.count(whole).cast("double") * 10**places)
+
+
 def instance_stats(found: DataFrame) -> DataFrame:
     """found with avg_amount, avg_ratio, ratio_std (of the population), avg_lag, max_lag; ratios of no edge are null."""
     some = F.size("ratios") > 0
@@ -36,10 +42,10 @@ def entity_features(found: DataFrame, zscores: DataFrame | None = None, node_deg
     """
     rows = instance_stats(found).select("motif_type", "avg_amount", "avg_ratio", "ratio_std", "avg_lag", "max_lag", "n_alert", F.explode(F.array_distinct("nodes")).alias("node"))
     out = rows.groupBy("node", "motif_type").agg(
-        F.count("*").alias("count"), F.avg("avg_amount").alias("avg_amount"), F.avg("avg_ratio").alias("avg_ratio"), F.avg("ratio_std").alias("ratio_std"),
-        F.avg("avg_lag").alias("avg_lag"), F.max("max_lag").alias("max_lag"), F.avg("n_alert").alias("avg_n_alert_edges"),
+        F.count("*").alias("count"), _exact_mean("avg_amount", 6).alias("avg_amount"), _exact_mean("avg_ratio", 9).alias("avg_ratio"), _exact_mean("ratio_std", 9).alias("ratio_std"),
+        _exact_mean("avg_lag", 9).alias("avg_lag"), F.max("max_lag").alias("max_lag"), _exact_mean("n_alert", 0).alias("avg_n_alert_edges"),
     )
-    out = out.join(F.broadcast(zscores.select("motif_type", "zscore")), "motif_type", "left") if zscores is not None else out.withColumn("zscore", F.lit(None).cast("double"))  # a row a type
+    out = out.join(zscores.select("motif_type", "zscore"), "motif_type", "left") if zscores is not None else out.withColumn("zscore", F.lit(None).cast("double"))
     if node_degree is not None:
         out = out.join(node_degree.select("node", "degree"), "node", "left").withColumn("freq_by_degree", F.col("count") / F.coalesce("degree", F.lit(1)))
     else:
@@ -61,7 +67,7 @@ def window_features(found: DataFrame, window_size: int = 7) -> DataFrame:
     start = (F.floor(F.array_min("steps") / F.lit(window_size)) * window_size).cast("int")
     total = F.aggregate("amounts", F.lit(0.0), lambda s, x: s + x)
     return rows.select(start.alias("window_start"), "motif_type", total.alias("t"), "avg_lag", "n_alert").groupBy("window_start", "motif_type").agg(
-        F.count("*").alias("count"), F.sum("t").alias("total_amount"), F.avg("avg_lag").alias("avg_lag"), F.sum("n_alert").alias("n_alert_edges"), F.avg((F.col("n_alert") > 0).cast("int")).alias("suspicious_ratio")
+        F.count("*").alias("count"), F.sum("t").alias("total_amount"), _exact_mean("avg_lag", 9).alias("avg_lag"), F.sum("n_alert").alias("n_alert_edges"), F.avg((F.col("n_alert") > 0).cast("int")).alias("suspicious_ratio")
     )
 
 

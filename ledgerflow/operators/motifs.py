@@ -1,8 +1,9 @@
 """Temporal motifs: fan-in, fan-out, three-node cycle, four-node relay, split-merge.
 
 Chains are joins on a node with a bounded lag, written in time order.  Fans are greedy folds over the short list of
-events that follow a seed within delta steps.  Every instance is a row of MOTIF columns; `keys` (a window or a
-permutation number) are carried through, so all windows run in one job.
+events that follow a seed within delta steps.  Both work on stretches of time: a row that an earlier stretch can reach is
+there as well, so a node with very many events is many small groups, and every pair still meets once.  Every instance is
+a row of MOTIF columns; `keys` (a window or a permutation number) are carried through, so all windows run in one job.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MotifConfig
+from ..functions.tables import settled
+
+#: Length of a stretch of time, in reaches: one row in so many is there twice.
+STRETCH = 8
 
 COLUMNS = ("motif_type", "nodes", "edges", "steps", "amounts", "lags", "ratios", "n_alert")
 
@@ -33,6 +38,21 @@ def _named(df: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
     return df.select(*(F.col(k).alias(f"{prefix}_{k}") for k in keys), *(c.alias(f"{prefix}_{n}") for n, c in cols.items()))
 
 
+def _stretch(step: Column, reach: int) -> Column:
+    return F.floor(step / F.lit(STRETCH * max(reach, 1)))
+
+
+def _stretches(step: Column, reach: int) -> Column:
+    """The stretches from which a row at `step` is at most `reach` steps away: its own, and maybe the one before."""
+    own = _stretch(step, reach)
+    return F.when(F.pmod(step, F.lit(STRETCH * max(reach, 1))) < reach, F.array(own - 1, own)).otherwise(F.array(own))
+
+
+def _reached(df: DataFrame, prefix: str, reach: int) -> DataFrame:
+    """df, a named event table, with a row for each stretch that reaches it."""
+    return df.withColumn(f"{prefix}_stretch", F.explode(_stretches(F.col(f"{prefix}_step"), reach)))
+
+
 def instances(df: DataFrame, motif_type: str, nodes: Column, events: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """MOTIF rows of an array of event structs in order: lags, and ratios of consecutive amounts rounded to 4 places."""
     rows = df.select(*keys, nodes.alias("nodes"), events.alias("e"))
@@ -55,10 +75,12 @@ def _fan(df: DataFrame, centre: str, other: str, least: int, cfg: MotifConfig, k
     """
     alert = F.col("is_sar") if "is_sar" in df.columns else F.lit(0)
     # another row of the centre can only be a seed's fellow if enough far ends lie in its reach
-    reach = Window.partitionBy(*keys, centre).orderBy("step").rangeBetween(0, cfg.delta)
+    reach = Window.partitionBy(*keys, centre, "__stretch").orderBy("step").rangeBetween(0, cfg.delta)
     event = F.struct(F.col("step"), F.col("event_id"), F.col(other).alias("far"), F.col("amount").cast("double").alias("amount"), alert.cast("int").alias("alert"))
-    rows = df.select(*keys, F.col(centre).alias("centre"), event.alias("seed"), F.col("step"), F.collect_list(event).over(reach.partitionBy(*keys, centre)).alias("c"), F.count("*").over(reach).alias("n"))
-    rows = rows.where((F.col("n") >= least) & (F.size(F.array_distinct(F.col("c")["far"])) >= least))
+    df = df.withColumn("__stretch", F.explode(_stretches(F.col("step"), cfg.delta)))
+    own = F.col("__stretch") == _stretch(F.col("step"), cfg.delta)  # only there it is a seed
+    rows = df.select(*keys, F.col(centre).alias("centre"), event.alias("seed"), own.alias("own"), F.collect_list(event).over(reach).alias("c"), F.count("*").over(reach).alias("n"))
+    rows = rows.where(F.col("own") & (F.col("n") >= least) & (F.size(F.array_distinct(F.col("c")["far"])) >= least))
     seed = F.col("seed")
     after = lambda x: (x["step"] > seed["step"]) | ((x["step"] == seed["step"]) & (x["event_id"] > seed["event_id"]))
     rows = rows.withColumn("c", F.sort_array(F.filter("c", after)))
@@ -92,9 +114,10 @@ def _same(a: str, b: str, keys: tuple[str, ...]) -> list[Column]:
 
 
 def _next(a: str, b: str, cfg: MotifConfig, keys: tuple[str, ...]) -> list[Column]:
-    """b leaves where a arrives, 1 to delta steps later, with a fitting amount."""
+    """b, a table of _reached(), leaves where a arrives, 1 to delta steps later, with a fitting amount."""
     lag = F.col(f"{b}_step") - F.col(f"{a}_step")
-    return [*_same(a, b, keys), F.col(f"{a}_dst") == F.col(f"{b}_src"), lag > 0, lag <= cfg.delta, _ratio_ok(F.col(f"{a}_amount"), F.col(f"{b}_amount"), cfg)]
+    met = _stretch(F.col(f"{a}_step"), cfg.delta) == F.col(f"{b}_stretch")
+    return [*_same(a, b, keys), F.col(f"{a}_dst") == F.col(f"{b}_src"), met, lag > 0, lag <= cfg.delta, _ratio_ok(F.col(f"{a}_amount"), F.col(f"{b}_amount"), cfg)]
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -104,6 +127,7 @@ def _all(conditions: list[Column]) -> Column:
 def find_cycle3(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """u to v to w to u, three nodes."""
     a, b, c = (_named(df, p, keys) for p in "abc")
+    b, c = _reached(b, "b", cfg.delta), _reached(c, "c", cfg.delta)
     pairs = a.join(b, _all([*_next("a", "b", cfg, keys), F.col("b_dst") != F.col("a_src"), F.col("b_dst") != F.col("a_dst"), F.col("a_src") != F.col("a_dst")]))
     rows = pairs.join(c, _all([*_next("b", "c", cfg, keys), F.col("c_dst") == F.col("a_src")]))
     rows = rows.withColumns({k: F.col(f"a_{k}") for k in keys})
@@ -113,6 +137,7 @@ def find_cycle3(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str
 def find_relay4(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """u to v to w to x, four nodes."""
     a, b, c = (_named(df, p, keys) for p in "abc")
+    b, c = _reached(b, "b", cfg.delta), _reached(c, "c", cfg.delta)
     pairs = a.join(b, _all([*_next("a", "b", cfg, keys), F.col("b_dst") != F.col("a_src"), F.col("b_dst") != F.col("a_dst"), F.col("a_src") != F.col("a_dst")]))
     rows = pairs.join(c, _all([*_next("b", "c", cfg, keys), *(F.col("c_dst") != F.col(x) for x in ("a_src", "a_dst", "b_dst"))]))
     rows = rows.withColumns({k: F.col(f"a_{k}") for k in keys})
@@ -126,13 +151,15 @@ def find_split_merge(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tupl
     than the one into v2.
     """
     p, q, r, s = (_named(df, x, keys) for x in "pqrs")
+    q, r, s = _reached(q, "q", cfg.delta), _reached(r, "r", 2 * cfg.delta), _reached(s, "s", 2 * cfg.delta)
     later = (F.col("q_step") > F.col("p_step")) | ((F.col("q_step") == F.col("p_step")) & (F.col("q_event_id") > F.col("p_event_id")))
-    split = p.join(q, _all([*_same("p", "q", keys), F.col("p_src") == F.col("q_src"), later, F.col("q_step") - F.col("p_step") <= cfg.delta, F.col("q_dst") != F.col("p_dst"), F.col("q_dst") != F.col("p_src"), _ratio_ok(F.col("p_amount"), F.col("q_amount"), cfg)]))
+    split = p.join(q, _all([*_same("p", "q", keys), F.col("p_src") == F.col("q_src"), _stretch(F.col("p_step"), cfg.delta) == F.col("q_stretch"), later, F.col("q_step") - F.col("p_step") <= cfg.delta, F.col("q_dst") != F.col("p_dst"), F.col("q_dst") != F.col("p_src"), _ratio_ok(F.col("p_amount"), F.col("q_amount"), cfg)]))
 
     def leg(first: str, leg: str) -> list[Column]:
         lag = F.col(f"{leg}_step") - F.col("p_step")
         apart = [F.col(f"{leg}_dst") != F.col(x) for x in ("p_src", "p_dst", "q_dst")]
-        return [*_same("p", leg, keys), F.col(f"{leg}_src") == F.col(f"{first}_dst"), lag > 0, lag <= 2 * cfg.delta, *apart, _ratio_ok(F.col(f"{first}_amount"), F.col(f"{leg}_amount"), cfg)]
+        met = _stretch(F.col("p_step"), 2 * cfg.delta) == F.col(f"{leg}_stretch")
+        return [*_same("p", leg, keys), F.col(f"{leg}_src") == F.col(f"{first}_dst"), met, lag > 0, lag <= 2 * cfg.delta, *apart, _ratio_ok(F.col(f"{first}_amount"), F.col(f"{leg}_amount"), cfg)]
 
     half = split.join(r, _all(leg("p", "r")))
     if cfg.first_edge_only:
@@ -150,7 +177,9 @@ MATCHERS = {"fanin": find_fanin, "fanout": find_fanout, "cycle3": find_cycle3, "
 
 
 def run_all(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """All enabled types.  max_instances keeps the first of each type by first step and edges."""
+    """All enabled types, from one written table of events.  max_instances, off by default, keeps the first of each type
+    by first step and edges."""
+    df = settled(df) if len(cfg.enabled) > 1 else df
     out = reduce(DataFrame.unionByName, [MATCHERS[t](df, cfg, keys) for t in cfg.enabled])
     if cfg.max_instances:
         first = Window.partitionBy(*keys, "motif_type").orderBy(F.array_min("steps"), F.array_join("edges", ","))

@@ -15,18 +15,20 @@ def count_support(found: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def filter_motifs(found: DataFrame, cfg: MotifConfig = MotifConfig(), zscores: DataFrame | None = None) -> DataFrame:
     """Instances of types with enough support and, if zscores (motif_type, zscore) are given, a z of z_min or more (a type
-    without one has 0).  The joined table has a row a type."""
+    without one has 0)."""
     least = F.create_map(*(F.lit(x) for kv in cfg.least_support().items() for x in kv))
     good = count_support(found).where(F.col("support") >= least[F.col("motif_type")])
     if zscores is not None:
-        good = good.join(F.broadcast(zscores.select("motif_type", "zscore")), "motif_type", "left").where(F.coalesce("zscore", F.lit(0.0)) >= cfg.z_min)
+        good = good.join(zscores.select("motif_type", "zscore"), "motif_type", "left").where(F.coalesce("zscore", F.lit(0.0)) >= cfg.z_min)
     return found.join(good.select("motif_type"), "motif_type", "left_semi").select(*found.columns)
 
 
-def shuffle_steps(df: DataFrame, n_permutations: int, seed: int = 42) -> DataFrame:
+def shuffle_steps(df: DataFrame, n_permutations: int, seed: int = 42, sample_frac: float = 1.0) -> DataFrame:
     """perm_id and df with the steps of each source dealt anew, by the order of md5(seed-perm-event_id): the same in
-    every engine, the same again at a retry."""
+    every engine, the same again at a retry.  sample_frac under 1 takes a share of the events into each permutation."""
     perms = df.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    if sample_frac < 1:
+        perms = perms.where(F.pmod(F.xxhash64("perm_id", "event_id", F.lit(seed)), F.lit(1_000_000)) < int(sample_frac * 1_000_000))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("event_id").cast("string")))
     by = Window.partitionBy("perm_id", "src_node")
     # the k-th event in time gets the k-th step of the shuffled order: both ranks in one partitioning
@@ -36,18 +38,24 @@ def shuffle_steps(df: DataFrame, n_permutations: int, seed: int = 42) -> DataFra
     return ranked.join(taken, ["perm_id", "src_node", "__own"]).select("perm_id", *rest, F.col("__step").alias("step"))
 
 
-def null_zscore(observed: DataFrame, df: DataFrame, cfg: MotifConfig = MotifConfig(), seed: int = 42, n_permutations: int | None = None) -> DataFrame:
+def null_zscore(observed: DataFrame, df: DataFrame, cfg: MotifConfig = MotifConfig(), seed: int = 42, n_permutations: int | None = None, sample_frac: float = 1.0, null_cap: int | None = None, observed_only: bool = False) -> DataFrame:
     """motif_type, observed, null_mean, null_std, zscore: observed support against shuffled steps, all in one job.
 
-    A permutation without instances of a type counts 0; the deviation is that of the population.
+    A permutation without instances of a type counts 0; the deviation is that of the population.  Cost controls of the
+    caller, off by default: sample_frac takes that share of events into each permutation (by a hash of permutation and
+    event; counts stay as they are), null_cap is the most that a type can count in a permutation, and observed_only
+    leaves out types without instances (no instances at all: no rows).
     """
     n = n_permutations or cfg.n_permutations
-    found = count_support(run_all(shuffle_steps(df, n, seed), cfg, ("perm_id",)), ("perm_id",))
+    shuffled = shuffle_steps(df, n, seed, sample_frac)
+    found = count_support(run_all(shuffled, cfg, ("perm_id",)), ("perm_id",))
+    if null_cap:
+        found = found.withColumn("support", F.least("support", F.lit(null_cap)))
     types = df.sparkSession.createDataFrame([(t,) for t in MOTIFS if t in cfg.enabled], "motif_type string")
     grid = types.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     counts = grid.join(found, ["perm_id", "motif_type"], "left").select("motif_type", F.coalesce("support", F.lit(0)).alias("support"))
     null = counts.groupBy("motif_type").agg(F.avg("support").alias("m"), F.stddev_pop("support").alias("s"))
-    seen = types.join(count_support(observed), "motif_type", "left").select("motif_type", F.coalesce("support", F.lit(0)).cast("bigint").alias("observed"))
+    seen = types.join(count_support(observed), "motif_type", "inner" if observed_only else "left").select("motif_type", F.coalesce("support", F.lit(0)).cast("bigint").alias("observed"))
     return seen.join(null, "motif_type").select(
         "motif_type", "observed", F.round("m", 2).alias("null_mean"), F.round("s", 2).alias("null_std"), F.round((F.col("observed") - F.col("m")) / (F.col("s") + 1e-9), 3).alias("zscore")
     )

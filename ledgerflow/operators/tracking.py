@@ -51,7 +51,7 @@ def track(labels: DataFrame, cfg: CommunityConfig = CommunityConfig()) -> DataFr
     """window_id, node, global_cid, community_size, overlap_score of every labelled node, noise (-1, size 0) included.
 
     labels: window_id, node, community_id.  Windows follow each other; the driver holds only window numbers and the
-    next id, the rest are checkpointed tables.  overlap_score: the largest Jaccard with the window before, to 4 places.
+    next id, the rest are written tables.  overlap_score: the largest Jaccard with the window before, to 4 places.
     """
     labels = settled(labels)
     windows = [r[0] for r in labels.select("window_id").distinct().orderBy("window_id").collect()]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import ranged
 from ..sources.transactions import elapsed_days, normalize
 
 
@@ -15,15 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, src_node, dst_node, amount, step, is_sar: each event pays the user of the next one in (ts, event_id).
 
-    "Next" is found inside a day, and for a day's last event in the table of days, so no task sorts all events.
+    "Next" is found inside a range of that order, and for a range's last event in the table of ranges.
     """
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    events = events.withColumn("step", elapsed_days(events, "ts"))
-    order = F.struct("ts", "event_id")
-    days = events.groupBy("step").agg(F.min_by("user_id", order).alias("first"))
-    days = days.select("step", F.lead("first").over(Window.orderBy("step")).alias("next_day"))  # a row a day
-    rows = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("step").orderBy("ts", "event_id"))).join(days, "step")
-    rows = rows.select("event_id", F.col("user_id").alias("src_node"), F.coalesce("next", "next_day").alias("dst_node"), F.col("value").alias("amount"), "step", (F.col("event_type") == "error").cast("int").alias("is_sar"))
+    events = ranged(events.withColumn("step", elapsed_days(events, "ts")), "ts", "event_id")
+    heads = events.where("__place = 0").select("__part", F.col("user_id").alias("first"))
+    heads = heads.select("__part", F.lead("first").over(Window.orderBy("__part")).alias("next_range"))  # a row a range
+    rows = events.withColumn("next", F.lead("user_id").over(Window.partitionBy("__part").orderBy("__place"))).join(heads, "__part")
+    rows = rows.select("event_id", F.col("user_id").alias("src_node"), F.coalesce("next", "next_range").alias("dst_node"), F.col("value").alias("amount"), "step", (F.col("event_type") == "error").cast("int").alias("is_sar"))
     return rows.where((F.col("src_node") != F.col("dst_node")) & (F.col("amount") > 0))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CommunityConfig, MotifConfig
+from .functions.tables import settled
 from .operators import communities as com
 from .operators import detection, edges, encoding, features, motifs, significance, tracking, windows
 from .plans import pipelines, views
@@ -151,7 +152,8 @@ def _rename_cte(sql: str, old: str, new: str) -> str:
 
 
 def _ev(spark: SparkSession, sf: str) -> DataFrame:
-    return views.event_flows(spark, sf)
+    """The events, written once: operators join them with themselves."""
+    return settled(views.event_flows(spark, sf))
 
 
 # ---- sources, windows, dictionary ----------------------------------------------------------------------------------
@@ -237,6 +239,24 @@ def distinct_nodes(spark, sf):
     return plain(seen.agg(F.sum("s").alias("n_src"), F.sum("d").alias("n_dst"), F.count("*").alias("n_nodes")))
 
 
+@query(f"WITH {EV}, d AS (SELECT dst_node AS raw_id, row_number() OVER (ORDER BY dst_node) - 1 AS node_id FROM (SELECT DISTINCT dst_node FROM ev)) SELECT event_id, src_node, node_id AS dst_node FROM ev JOIN d ON raw_id = dst_node")
+def encode_column(spark, sf):
+    return plain(encoding.encode_column(_ev(spark, sf), "dst_node")[0].select("event_id", "src_node", "dst_node"))
+
+
+@query(f"WITH {EV} SELECT event_id FROM ev WHERE dst_node IN (SELECT src_node FROM ev WHERE step < 2)")
+def contains(spark, sf):
+    ev = _ev(spark, sf)
+    return plain(encoding.contains(ev, encoding.fit(ev.where("step < 2"), ("src_node",)), "dst_node").select("event_id"))
+
+
+@query(f"WITH {EV} SELECT CAST(step AS BIGINT) AS step, min(i) AS lo, max(i) AS hi FROM (SELECT step, row_number() OVER (ORDER BY step, amount, dst_node, is_sar, src_node) - 1 AS i FROM ev) GROUP BY 1")
+def ordered_ids(spark, sf):
+    """Event ids that pass check_ordered(), which raises where steps don't ascend with them."""
+    rows = tx.check_ordered(tx.with_event_id(_ev(spark, sf).select("amount", "dst_node", "is_sar", "src_node", "step")))
+    return plain(rows.groupBy("step").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")))
+
+
 # ---- edges ---------------------------------------------------------------------------------------------------------
 
 _RELAY = "rel AS (SELECT a.src_node AS src_1, a.dst_node AS dst_1, a.step AS step_1, a.amount AS amount_1, a.is_sar AS alert_1, b.src_node AS src_2, b.dst_node AS dst_2, b.step AS step_2, b.amount AS amount_2, b.is_sar AS alert_2 FROM ev a JOIN ev b ON a.dst_node = b.src_node AND b.step - a.step BETWEEN 1 AND 5)"
@@ -322,6 +342,25 @@ def relay_edges(spark, sf):
     return plain(edges.relay_edges(edges.snapshot_edges(_ev(spark, sf))), 4)
 
 
+_PLAN = f"""{EV}, {_DICT}, en AS (SELECT a.node_id AS src_node, b.node_id AS dst_node, step, amount, is_sar FROM ev JOIN nd a ON a.raw_id = src_node JOIN nd b ON b.raw_id = dst_node), {_windows_sql(30, 15, 'en')},
+rel AS (SELECT a.window_id, a.src_node AS src_2nd, b.dst_node AS dst_2nd, a.amount AS x, b.amount AS y FROM wn a JOIN wn b ON a.window_id = b.window_id AND a.dst_node = b.src_node AND b.step - a.step BETWEEN 1 AND 5 AND a.src_node <> b.dst_node)
+SELECT window_id, src_2nd, dst_2nd, count(*) AS count, round(sum(x), 4) AS weight_src, round(sum(y), 4) AS weight_dst FROM rel"""
+
+
+def _second_order(result) -> DataFrame:
+    return plain(result.second_order_edges.select("window_id", "src_2nd", "dst_2nd", "count", "weight_src", "weight_dst"), 4)
+
+
+@query(f"WITH {_PLAN} GROUP BY 1, 2, 3")
+def graph_pipeline(spark, sf):
+    return _second_order(pipelines.graph_pipeline(_ev(spark, sf)))
+
+
+@query(f"WITH {_PLAN} WHERE window_id = 0 GROUP BY 1, 2, 3")
+def graph_pipeline_first_window(spark, sf):
+    return _second_order(pipelines.graph_pipeline(_ev(spark, sf), all_windows=False))
+
+
 # ---- motifs --------------------------------------------------------------------------------------------------------
 
 
@@ -375,6 +414,20 @@ def motif_support(spark, sf):
     return plain(significance.count_support(motifs.run_all(_ev(spark, sf))))
 
 
+@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, r AS (SELECT *, row_number() OVER (PARTITION BY motif_type ORDER BY list_min(st), {_text('ed')}) AS r FROM found WHERE motif_type IN ('cycle3', 'fanout')) SELECT motif_type, {_text('ed')} AS edges FROM r WHERE r <= 100")
+def motif_enabled_first(spark, sf):
+    """Two types alone, the first 100 instances of each: the options enabled and max_instances."""
+    return plain(motifs.run_all(_ev(spark, sf), MotifConfig(enabled=("fanout", "cycle3"), max_instances=100)).select("motif_type", "edges"))
+
+
+@query(f"WITH RECURSIVE {EV}, {_all_motifs()} SELECT CAST(list_min(st) // 7 * 7 AS BIGINT) AS window_start, motif_type, count(*) AS n FROM found GROUP BY 1, 2")
+def motif_pipeline(spark, sf):
+    """Instances of the motif plan that its default filter keeps, by window."""
+    kept = pipelines.motif_pipeline(_ev(spark, sf)).kept
+    start = (F.floor(F.array_min("steps") / F.lit(7)) * 7).alias("window_start")
+    return plain(kept.groupBy(start, "motif_type").agg(F.count("*").alias("n")))
+
+
 _STRICT = MotifConfig(r_min_cycle=1000, r_min_split_merge=1000)
 
 
@@ -402,11 +455,14 @@ def null_zscore(spark, sf):
     return plain(significance.null_zscore(empty, ev, n_permutations=2).select("motif_type", "null_mean", "null_std"))
 
 
-@query(f"""WITH RECURSIVE {EV}, {_PERM.format(n=MotifConfig().n_permutations)}, {_all_motifs('sh', ('perm_id',))}, nul AS (SELECT motif_type, perm_id, count(*) AS n FROM found GROUP BY 1, 2),
+_ZSCORE = f"""WITH RECURSIVE {_PERM.format(n=MotifConfig().n_permutations)}, {_all_motifs('sh', ('perm_id',))}, nul AS (SELECT motif_type, perm_id, count(*) AS n FROM found GROUP BY 1, 2),
 grid AS (SELECT t, p, coalesce(n, 0) AS n FROM (SELECT unnest(['fanin', 'fanout', 'cycle3', 'relay4', 'split_merge']) AS t) CROSS JOIN (SELECT unnest(range(0, {MotifConfig().n_permutations})) AS p) LEFT JOIN nul ON motif_type = t AND perm_id = p),
 nm AS (SELECT t AS motif_type, avg(n) AS m, stddev_pop(n) AS s FROM grid GROUP BY 1),
 ob AS (WITH RECURSIVE {_all_motifs()} SELECT motif_type, count(*) AS n FROM found GROUP BY 1)
-SELECT motif_type, coalesce(n, 0) AS observed, round(m, 2) AS null_mean, round(s, 2) AS null_std, round((coalesce(n, 0) - m) / (s + 1e-9), 3) AS zscore FROM nm LEFT JOIN ob USING (motif_type)""")
+SELECT motif_type, coalesce(n, 0) AS observed, round(m, 2) AS null_mean, round(s, 2) AS null_std, round((coalesce(n, 0) - m) / (s + 1e-9), 3) AS zscore FROM nm LEFT JOIN ob USING (motif_type)"""
+
+
+@query(f"WITH {EV}, z AS ({_ZSCORE}) SELECT * FROM z")
 def motif_zscore(spark, sf):
     """Real support against the production number of permutations; null_zscore has the null columns of two."""
     ev = _ev(spark, sf)
@@ -414,33 +470,58 @@ def motif_zscore(spark, sf):
 
 
 _STATS = """fs AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: st[i] - st[i - 1]) AS lg, list_transform(range(2, len(st) + 1), lambda i: round(am[i] / am[i - 1], 4)) AS rt FROM found),
-en AS (SELECT motif_type, unnest(list_distinct(nd)) AS node, list_avg(am) AS aa, list_avg(rt) AS ar, list_stddev_pop(rt) AS rs, list_avg(lg) AS al_, list_max(lg) AS ml, CAST(list_sum(al) AS BIGINT) AS na FROM fs),
-ef AS (SELECT node, motif_type, count(*) AS count, avg(aa) AS avg_amount, avg(ar) AS avg_ratio, avg(rs) AS ratio_std, avg(al_) AS avg_lag, CAST(max(ml) AS DOUBLE) AS max_lag, avg(na) AS avg_n_alert_edges, count(*) / any_value(coalesce(dg, 1)) AS freq_by_degree, count(*) / (SELECT sum(amount) FROM ev) AS freq_by_volume
+en AS (SELECT motif_type, unnest(list_distinct(nd)) AS node, CAST(round(list_avg(am) * 1e6) AS HUGEINT) AS aa, CAST(round(list_avg(rt) * 1e9) AS HUGEINT) AS ar, CAST(round(list_stddev_pop(rt) * 1e9) AS HUGEINT) AS rs,
+  CAST(round(list_avg(lg) * 1e9) AS HUGEINT) AS al_, list_max(lg) AS ml, CAST(list_sum(al) AS BIGINT) AS na FROM fs),
+ef AS (SELECT node, motif_type, count(*) AS count, CAST(max(ml) AS DOUBLE) AS max_lag, any_value(coalesce(dg, 1)) AS dg, count(*) / (SELECT sum(amount) FROM ev) AS freq_by_volume,
+  sum(aa) AS s_avg_amount, count(aa) AS n_avg_amount, sum(ar) AS s_avg_ratio, count(ar) AS n_avg_ratio, sum(rs) AS s_ratio_std, count(rs) AS n_ratio_std, sum(al_) AS s_avg_lag, count(al_) AS n_avg_lag, sum(na) AS s_avg_n_alert_edges, count(na) AS n_avg_n_alert_edges
   FROM en LEFT JOIN (SELECT src_node, count(*) AS dg FROM ev GROUP BY 1) d ON d.src_node = node GROUP BY 1, 2)"""
+# Means as whole numbers: their sum, count and scale, so that rounding half up is exact.
+_MEANS = {"avg_amount": 10**6, "avg_ratio": 10**9, "ratio_std": 10**9, "avg_lag": 10**9, "avg_n_alert_edges": 1}
+
+
+def _half_up(total: str, n: str, scale: int, places: int) -> str:
+    return f"CAST((2 * CAST({total} AS HUGEINT) * {10**places} + {n} * {scale}) // (2 * {n} * {scale}) AS DOUBLE) / {10**places}"
+
+
+def _metric(c: str, places: int) -> str:
+    """SQL of a metric of ef, rounded."""
+    if c in _MEANS:
+        return _half_up(f"s_{c}", f"n_{c}", _MEANS[c], places)
+    return _half_up("count", "dg", 1, places) if c == "freq_by_degree" else c
+
+
 _EF = ("avg_amount", "avg_ratio", "ratio_std", "avg_lag", "max_lag", "avg_n_alert_edges", "freq_by_degree")
 
 
-def _entity(spark, sf):
+def _entity(spark, sf, zscores: bool = False):
     ev = _ev(spark, sf)
-    return features.entity_features(motifs.run_all(ev), None, features.node_degrees(ev), ev.select(F.sum("amount").alias("v")).scalar())
+    found = settled(motifs.run_all(ev))
+    return features.entity_features(found, significance.null_zscore(found, ev) if zscores else None, features.node_degrees(ev), ev.select(F.sum("amount").alias("v")).scalar())
 
 
-@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, {_STATS} SELECT node, motif_type, count, {', '.join(f'round({c} + 1.3e-8, 6) AS {c}' for c in _EF)}, round(freq_by_volume * 1000000, 3) AS freq_by_volume_million FROM ef")
+@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, {_STATS} SELECT node, motif_type, count, {', '.join(f'{_metric(c, 6)} AS {c}' for c in _EF)}, round(freq_by_volume * 1000000, 3) AS freq_by_volume_million FROM ef")
 def entity_features(spark, sf):
     e = _entity(spark, sf).withColumn("freq_by_volume_million", F.round(F.col("freq_by_volume") * 1000000, 3)).drop("zscore", "freq_by_volume")
-    e = e.withColumns({c: F.col(c) + 1.3e-8 for c in _EF})  # means of short decimals lie on rounding ties; a shift moves them off
     return plain(e)
 
 
-_WIDE = ("count", "avg_lag", "max_lag", "avg_n_alert_edges", "zscore")
+def _wide_sql(motif: str, metric: str) -> str:
+    mine = f"FILTER (motif_type = '{motif}')"
+    if metric == "count":
+        return f"CAST(coalesce(max(count) {mine}, 0) AS BIGINT)"
+    if metric == "freq_by_volume":
+        return f"round(coalesce(max(freq_by_volume) {mine}, 0) * 1000000, 3)"
+    return f"coalesce(max({_metric(metric, 4)}) {mine}, 0)"
 
 
-@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, {_STATS} SELECT node, " + ", ".join((f"CAST(coalesce(max({c}) FILTER (motif_type = '{m}'), 0) AS BIGINT)" if c == "count" else "CAST(0 AS DOUBLE)" if c == "zscore" else f"round(coalesce(max({c}) FILTER (motif_type = '{m}'), 0), 4)") + f" AS {m}_{c}" for m in motifs.MATCHERS for c in _WIDE) + " FROM ef GROUP BY 1")
+@query(f"WITH RECURSIVE {EV}, zs AS ({_ZSCORE}), {_all_motifs()}, {_STATS}, ez AS (SELECT ef.*, zscore FROM ef LEFT JOIN zs USING (motif_type)) SELECT node, " + ", ".join(f"{_wide_sql(m, c)} AS {m}_{c}" for m in motifs.MATCHERS for c in features.WIDE_METRICS) + " FROM ez GROUP BY 1")
 def entity_wide(spark, sf):
-    return plain(features.entity_wide(_entity(spark, sf)).select("node", *(f"{m}_{c}" for m in motifs.MATCHERS for c in _WIDE)), 4)
+    """All ten metrics of all types, freq_by_volume in millionths."""
+    wide = features.entity_wide(_entity(spark, sf, zscores=True))
+    return plain(wide.withColumns({f"{m}_freq_by_volume": F.round(F.col(f"{m}_freq_by_volume") * 1000000, 3) for m in motifs.MATCHERS}), 4)
 
 
-@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, {_STATS} SELECT CAST(list_min(st) // 7 * 7 AS BIGINT) AS window_start, motif_type, count(*) AS count, round(sum(list_sum(am)), 2) AS total_amount, round(avg(list_avg(lg)), 2) AS avg_lag, CAST(sum(list_sum(al)) AS BIGINT) AS n_alert_edges, round(avg(CASE WHEN list_sum(al) > 0 THEN 1.0 ELSE 0.0 END), 2) AS suspicious_ratio FROM fs GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {EV}, {_all_motifs()}, {_STATS} SELECT CAST(list_min(st) // 7 * 7 AS BIGINT) AS window_start, motif_type, count(*) AS count, round(sum(list_sum(am)), 2) AS total_amount, {_half_up('sum(CAST(round(list_avg(lg) * 1e9) AS HUGEINT))', 'count(*)', 10**9, 2)} AS avg_lag, CAST(sum(list_sum(al)) AS BIGINT) AS n_alert_edges, round(avg(CASE WHEN list_sum(al) > 0 THEN 1.0 ELSE 0.0 END), 2) AS suspicious_ratio FROM fs GROUP BY 1, 2")
 def window_features(spark, sf):
     return plain(features.window_features(motifs.run_all(_ev(spark, sf))), 2)
 
@@ -467,7 +548,7 @@ _KEYS = ("window_id",)
 
 def _stand_in(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(windowed events, labels by node number): a community rule that needs no clustering."""
-    w = windows.number_windows(windows.assign_windows(_ev(spark, sf), 10, 10))
+    w = settled(windows.number_windows(windows.assign_windows(_ev(spark, sf), 10, 10)))
     nodes = w.select("window_id", F.explode(F.array("src_node", "dst_node")).alias("node")).distinct()
     return w, nodes.withColumn("global_cid", F.when(F.col("node") % 20 == 19, F.lit(-1)).otherwise(F.col("node") % 20).cast("bigint"))
 
@@ -546,7 +627,7 @@ _LOW = CommunityConfig(global_susp_threshold=0.15)
 def _scored(spark, sf, cfg=_LOW, find=motifs.find_relay4) -> DataFrame:
     w, labels = _stand_in(spark, sf)
     total = w.select(F.countDistinct("window_id").alias("n")).scalar()
-    return com.score_communities(_features(spark, sf, find), cfg, tracking.persistence(labels), total)
+    return com.score_communities(settled(_features(spark, sf, find)), cfg, tracking.persistence(labels), total)
 
 
 @query(f"WITH {EV}, {_FEATURES}, {_MOTIF_COUNT}, {_SCORE} SELECT window_id, CAST(global_cid AS BIGINT) AS global_cid, round(suspicion_score, 4) AS suspicion_score, round(persistence_norm, 4) AS persistence_norm, round(motif_enrichment_norm, 4) AS motif_enrichment_norm, CAST(suspicion_score >= 0.15 AS BIGINT) AS is_suspicious, CAST(internal_flow >= 0.5 AS BIGINT) AS flag_internal_flow, CAST(reciprocity >= 0.3 AS BIGINT) AS flag_reciprocity, CAST(persistence_norm >= 0.3 AS BIGINT) AS flag_persistence, CAST(motif_enrichment >= 1 AS BIGINT) AS flag_motif FROM sr")
@@ -594,6 +675,11 @@ def persistence(spark, sf):
     return plain(tracking.persistence(_stand_in(spark, sf)[1]))
 
 
+@query(f"WITH {EV}, {_LABELS}, s AS (SELECT DISTINCT window_id, global_cid FROM lb WHERE global_cid <> -1) SELECT window_id, CAST(global_cid AS BIGINT) AS global_cid, count(*) OVER (PARTITION BY global_cid ORDER BY window_id) AS n_windows FROM s")
+def persistence_as_of(spark, sf):
+    return plain(tracking.persistence(_stand_in(spark, sf)[1], as_of=True))
+
+
 # Labels by node number keep their communities from window to window; ids then follow the first window's order.
 @query(f"""WITH {EV}, {_LABELS}, ids AS (SELECT global_cid, row_number() OVER (ORDER BY global_cid) - 1 AS gid FROM (SELECT DISTINCT global_cid FROM lb WHERE global_cid <> -1)),
 n AS (SELECT window_id, global_cid, count(*) AS size FROM lb GROUP BY 1, 2), ov AS (SELECT b.window_id, b.global_cid, count(*) AS inter FROM lb a JOIN lb b ON a.node = b.node AND a.global_cid = b.global_cid AND b.window_id = a.window_id + 1 GROUP BY 1, 2)
@@ -625,6 +711,34 @@ def detect_infomap(spark, sf):
     return plain(detection.detect_communities(_window_matrix(spark, sf), CommunityConfig(method="infomap")))
 
 
+# What labels of any method must hold: every active node once, no community under the least size, none in several parts.
+_METHODS = ("leiden", "infomap", "multilevel", "greedy", "trivial")
+
+
+@query(f"WITH {EV}, {_windows_sql(10, 10)}, a AS (SELECT window_id, count(DISTINCT node) AS n FROM (SELECT window_id, src_node AS node FROM wn UNION ALL SELECT window_id, dst_node FROM wn) GROUP BY 1) SELECT method, window_id, n AS nodes, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS small, CAST(0 AS BIGINT) AS worse_than_one FROM a, (SELECT unnest({list(_METHODS)}) AS method)")
+def detect_invariants(spark, sf):
+    matrix = settled(_window_matrix(spark, sf))
+    out = None
+    for method in _METHODS:
+        cfg = CommunityConfig(method=method)
+        labels = settled(detection.detect_communities(matrix, cfg))
+        sizes = labels.where("community_id <> -1").groupBy("window_id", "community_id").agg(F.count("*").alias("n"))
+        small = sizes.groupBy("window_id").agg(F.count(F.when(F.col("n") < cfg.min_comm_size, 1)).alias("small"))
+        # directed modularity of the labels, all in sums; one community has 0
+        m = matrix.join(labels.select("window_id", F.col("node").alias("i"), F.col("community_id").alias("a")), ["window_id", "i"]).join(labels.select("window_id", F.col("node").alias("j"), F.col("community_id").alias("b")), ["window_id", "j"])
+        m = m.withColumns({"a": F.when(F.col("a") == -1, -2 - F.col("i")).otherwise(F.col("a")), "b": F.when(F.col("b") == -1, -2 - F.col("j")).otherwise(F.col("b"))})  # noise: alone
+        whole = m.groupBy("window_id").agg(F.sum("w").alias("m"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+        one, two = m.groupBy("window_id", F.col("a").alias("c")).agg(F.sum("w").alias("o")), m.groupBy("window_id", F.col("b").alias("c")).agg(F.sum("w").alias("i"))
+        chance = one.join(two, ["window_id", "c"]).groupBy("window_id").agg(F.sum(F.col("o") * F.col("i")).alias("x"))
+        score = whole.join(chance, "window_id", "left").withColumn("q", F.col("inside") / F.col("m") - F.coalesce("x", F.lit(0.0)) / (F.col("m") * F.col("m")))
+        nodes = labels.groupBy("window_id").agg(F.countDistinct("node").alias("nodes"), (F.count("*") - F.countDistinct("node")).alias("repeated"))
+        rows = nodes.join(small, "window_id", "left").join(score, "window_id")
+        worse = (F.col("q") < -1e-6).cast("bigint") if method in ("leiden", "multilevel") else F.lit(0)
+        rows = rows.select(F.lit(method).alias("method"), "window_id", "nodes", "repeated", F.coalesce("small", F.lit(0)).alias("small"), worse.alias("worse_than_one"))
+        out = rows if out is None else out.unionByName(rows)
+    return plain(out)
+
+
 @query()
 def full_pipeline(spark, sf):
     ev = _ev(spark, sf)
@@ -632,7 +746,11 @@ def full_pipeline(spark, sf):
     return plain(out.features)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EV}, o AS (SELECT min(step) AS o, max(step) AS m FROM ev), k AS (SELECT o + k * 7 AS chunk_start FROM o, (SELECT unnest(range(0, 1000)) AS k) WHERE o + k * 7 <= m),
+ck AS (SELECT ev.*, chunk_start FROM ev JOIN k ON step BETWEEN chunk_start - 3 AND chunk_start + 6), {_all_motifs('ck', ('chunk_start',))}, f AS (SELECT * FROM found WHERE list_min(st) >= chunk_start) """
+    + _motif_sql("f", "", "nd", "chunk_start,").replace("'' AS motif_type", "motif_type")
+)
 def motif_chunked(spark, sf):
     return plain_motifs(motifs.chunked(_ev(spark, sf)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def save_table(df: DataFrame, name: str, folder: str = "outputs/motif_features", fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
@@ -24,9 +24,13 @@ def save_all(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") ->
 
 
 def save_report(df: DataFrame, path: str) -> str:
-    """A small table (a report) as one JSON object of its first column to the others, written through Spark."""
-    rows = [r.asDict() for r in df.limit(1000).collect()]
-    first = df.columns[0]
-    text = json.dumps({str(r.pop(first)): r for r in rows}, default=str, sort_keys=True)
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A small table (a report, a row a motif type or so) as one JSON object of its first column to the others, all rows
+    of it, written through Spark."""
+    first, *rest = df.columns
+    return save_json(df.sparkSession, {str(r[first]): {c: r[c] for c in rest} for r in df.collect()}, path)
+
+
+def save_json(spark: SparkSession, report: dict, path: str) -> str:
+    text = json.dumps(report, default=str, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return path

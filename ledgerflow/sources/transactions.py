@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EVENT_ALIASES, LoadConfig
+from ..functions.tables import numbered
 
 DAY_MICROS = 86_400_000_000
 
@@ -80,26 +81,16 @@ def event_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> Dat
 
 
 def with_event_id(df: DataFrame) -> DataFrame:
-    """event_id from 0 in the order of step and then all columns, where there is none yet.
-
-    Rows are counted by step first and numbered inside it, so that no task holds all rows: the table of steps (one row
-    a step) carries the offsets.
-    """
+    """event_id from 0 in the order of step and then all columns, where there is none yet.  Rows are sorted in ranges, so
+    neither all rows nor those of one step come together in a task."""
     if "event_id" in df.columns:
         return df
-    from pyspark.sql import Window
-
-    counts = df.groupBy("step").agg(F.count("*").alias("__n"))
-    before = counts.select(F.col("step"), F.coalesce(F.sum("__n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("step").orderBy(*(F.col(f"`{c}`") for c in df.columns if c != "step")))
-    return df.withColumn("__rank", rank).join(before, "step").withColumn("event_id", (F.col("__before") + F.col("__rank") - 1).cast("bigint")).select(*df.columns, "event_id")
+    return numbered(df, ("step", *(c for c in df.columns if c != "step")), "event_id")
 
 
 def check_ordered(df: DataFrame) -> DataFrame:
     """Raises if a later event_id has an earlier step: for callers that rely on ids being in time order."""
     steps = df.groupBy("step").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    from pyspark.sql import Window
-
     wrong = steps.withColumn("before", F.lag("hi").over(Window.orderBy("step"))).where("lo < before")
     if not wrong.isEmpty():
         raise ValueError("steps don't ascend with event_id")
