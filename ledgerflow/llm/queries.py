@@ -61,7 +61,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as AVI motion-JPEG and back."""
     out = media_columns.decode_media(media_columns.encode_media(_table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
