@@ -29,6 +29,7 @@ from .tokens import encoder
 CELLS_A_KEY = 1.5
 LEVELS = 24
 BLOCK_IDS = 1 << 20
+MANIFEST = "shard int, ids_uri string, index_uri string, id_bytes int, n_docs long, n_tokens long, first_key long, last_key long, n_null long"
 
 
 def _hash(keys: np.ndarray, nulls: np.ndarray, seed: int) -> np.ndarray:
@@ -135,10 +136,12 @@ class TokenShard:
 
 
 def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
-    """Writes the shards; returns their manifest: shard, ids_uri, index_uri, id_bytes, n_docs, n_tokens, written and reread.
+    """Writes the shards; returns their manifest, written and reread: shard, ids_uri, index_uri, id_bytes, n_docs, n_tokens, the
+    first and last key and the number of rows without one.
 
-    Rows are in ascending order of doc_id, null first, equal ids by text; a null text is empty and has the end id alone.
-    A task that is run again writes its own files, and the manifest names those of the attempt that counts.  An empty
+    Rows are in ascending order of doc_id, null first, equal ids by text; a null text is empty and has the end id alone;
+    repeated rows are rows.  Texts of any length are encoded whole, strings of special tokens in them as those tokens (as
+    the tokenizers library has it by default), and other columns aren't looked at.  A task that is run again writes its own files, and the manifest names those of the attempt that counts.  An empty
     table gives an empty manifest.
     """
     folder = new_path(df.sparkSession, "token-shards")
@@ -171,18 +174,22 @@ def write_token_shards(df: DataFrame, tokenizer_path: str, end_id: int, id_col:
         places = np.cumsum(np.concatenate(sizes))
         with system.open_output_stream(f"{base}/{name}.index") as f:
             f.write(build_index(np.concatenate(keys), np.concatenate(nulls), places))
-        cols = [[shard], [f"{folder}/{name}.ids"], [f"{folder}/{name}.index"], [width], [len(places) - 1], [int(places[-1])]]
-        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "ids_uri", "index_uri", "id_bytes", "n_docs", "n_tokens"])
+        none = np.concatenate(nulls)
+        known = np.concatenate(keys)[~none]  # ascending
+        ends = [int(known[0]), int(known[-1])] if len(known) else [None, None]
+        cols = [shard, f"{folder}/{name}.ids", f"{folder}/{name}.index", width, len(places) - 1, int(places[-1]), *ends, int(none.sum())]
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"))
     rows = rows.repartitionByRange(shards, "i") if shards else rows.repartitionByRange("i")
     rows = rows.sortWithinPartitions("i", "t")
-    return written(rows.mapInArrow(lean(write), "shard int, ids_uri string, index_uri string, id_bytes int, n_docs long, n_tokens long"), "token-manifest")
+    return written(rows.mapInArrow(lean(write), MANIFEST), "token-manifest")
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, shard of every row, by keyed lookups in the files."""
+    """doc_id, start, n_tokens, ids_crc32, shard of every row.  Each key is looked up in its shard's index, which must give
+    all rows in order (else ValueError); the payload is then read in that order, a block at a time."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -216,18 +223,55 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """doc_id, ids of the asked keys: each shard is asked for those in its range (a bounded table of shards)."""
-    shards = [tuple(r) for r in manifest.select("ids_uri", "index_uri", "id_bytes").collect()]
+    """doc_id, ids of every row whose key is asked, rows without a key too if null is; a key that isn't there has no row.
 
-    def read(batches):
+    The manifest (a row a shard) says which shard holds a key, so a key goes to that one alone, and a task opens each of
+    its shards once.
+    """
+    table = sorted(tuple(r) for r in manifest.select("shard", "ids_uri", "index_uri", "id_bytes", "first_key", "last_key", "n_null").collect())
+    keyed = [i for i, r in enumerate(table) if r[4] is not None]
+    first, last = (np.array([table[i][c] for i in keyed], np.int64) for c in (4, 5))
+    without = next((i for i, r in enumerate(table) if r[6]), -1)
+
+    def deal(batches):
         for batch in batches:
-            asked = batch.column(0).drop_null().to_numpy()
-            for uris in shards:
-                open_ = TokenShard(*uris)
-                row, count = open_.find(asked)
-                for k in np.flatnonzero(count):
-                    for r in range(int(row[k]), int(row[k] + count[k])):
-                        yield pa.RecordBatch.from_arrays([pa.array([asked[k]], pa.int64()), pa.array([open_.ids(r).tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
-                open_.close()
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            key = batch.column(0).fill_null(0).to_numpy()
+            at = np.searchsorted(last, key)
+            there = ~none & (at < len(keyed))
+            there[there] &= key[there] >= first[at[there]]
+            shard = np.full(len(key), without)
+            shard[~none] = -1
+            shard[there] = np.array(keyed, np.int64)[at[there]]
+            use = shard >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(shard[use].astype(np.int32)), pa.array(key[use], mask=none[use])], ["s", "k"])
 
-    return keys.select(F.col(f"`{key_col}`").cast("long").alias("k")).distinct().mapInArrow(read, "doc_id long, ids array<long>")
+    def read(batches):
+        at, open_ = -1, None
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            none = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            key = batch.column(1).fill_null(0).to_numpy()
+            for s in np.unique(shard).tolist():
+                if s != at:
+                    if open_:
+                        open_.close()
+                    at, open_ = s, TokenShard(*table[s][1:4])
+                own = shard == s
+                row, count = open_.find(key[own], none[own])
+                rows = np.repeat(row - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                names = pa.array(np.repeat(key[own], count), mask=np.repeat(none[own], count))
+                until = np.cumsum(open_.places[rows + 1] - open_.places[rows])
+                begin = 0
+                while begin < len(rows):
+                    end = max(begin + 1, int(np.searchsorted(until, (until[begin - 1] if begin else 0) + BLOCK_IDS, "right")))
+                    found = [open_.ids(int(r)).astype(np.int64) for r in rows[begin:end]]
+                    edges = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([names.slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(found)))], ["doc_id", "ids"])
+                    begin = end
+        if open_:
+            open_.close()
+
+    asked = keys.select(F.col(f"`{key_col}`").cast("long").alias("k")).distinct()
+    dealt = asked.mapInArrow(deal, "s int, k long").repartition("s").sortWithinPartitions("s", "k")
+    return dealt.mapInArrow(lean(read), "doc_id long, ids array<long>")

@@ -4,7 +4,7 @@ A text is cut before white space that follows a character which surely isn't whi
 stands alone, and between ASCII letters and punctuation (but not after an apostrophe).  No pre-token of the two
 vocabularies crosses such a place and no normalisation looks across it, so a text's ids are the ids of its pieces in
 order.  Pieces repeat far more often than texts, so most come from a table that a worker keeps; new words are encoded
-many to a call.
+many to a call.  A special token's string in a text is a piece of its own, so it gets what the library gives it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .bytekernels import IS_SPACE
+from .bytekernels import IS_SPACE, SLICE_BYTES
 
 #: Pieces and ids that a worker keeps at most; beyond that it starts a new table.
 MAX_PIECES = 250_000
@@ -91,6 +91,18 @@ class PieceTable:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.used > MAX_PIECES or self.ends[self.used - 1] > MAX_IDS:
             self._clear()
+        found, sizes, at = [], [], 0
+        while at < len(starts):  # about SLICE_BYTES of pieces at a time, however long a text is
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES)))
+            ids, size = self._encode_run(data[starts[at] : starts[end] if end < len(starts) else len(data)], starts[at:end] - starts[at])
+            found.append(ids)
+            sizes.append(size)
+            at = end
+        total = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(found), total[np.searchsorted(starts, offsets)]
+
+    def _encode_run(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces that lie one after another, number of ids of each)."""
         edges = np.append(starts, len(data)).astype(np.int32 if len(data) < 2**31 else np.int64)
         kind = pa.binary() if edges.dtype == np.int32 else pa.large_binary()
         pieces = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -101,8 +113,7 @@ class PieceTable:
         slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy(zero_copy_only=False)]
         begin, size = self.ends[slot - 1], self.ends[slot] - self.ends[slot - 1]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, offsets)]
+        return self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])], size
 
     def encode_with_end(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """encode(), with end_id after each text."""
@@ -112,19 +123,37 @@ class PieceTable:
 
 
 class PieceEncoder(PieceTable):
-    """Pieces by a vocabulary file of the tokenizers library."""
+    """Pieces by a vocabulary file of the tokenizers library.  special_as_text: strings of special tokens in a text are
+    ordinary text; else they are the special tokens, as the library has it by default."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError(f"{path} has added tokens that depend on the text around them")
+        names = sorted((t.content.encode() for t in added if not (special_as_text and t.special)), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
+        self.prefix = os.path.commonprefix(names)
         self._marks()
         super().__init__()
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return piece_starts(data, offsets)
+        found = piece_starts(data, offsets)
+        blob = data.tobytes() if self.special else b""
+        if not self.special or self.prefix not in blob or not self.special.search(blob):
+            return found
+        edges = offsets.tolist()
+        spans = [m.span() for a, b in zip(edges[:-1], edges[1:], strict=True) for m in self.special.finditer(blob, a, b)]
+        if not spans:
+            return found
+        begin, end = np.array(spans).T
+        inside = np.searchsorted(begin, found, "right") - 1
+        found = found[(inside < 0) | (found >= end[inside])]
+        return np.unique(np.concatenate([found, begin, end[end < len(data)]]))
 
     def _marks(self) -> None:
         """Which ids begin (or end) a word, by the vocabulary's own convention, if it has one."""
@@ -162,6 +191,6 @@ class PieceEncoder(PieceTable):
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """One for each vocabulary and worker."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special_as_text)

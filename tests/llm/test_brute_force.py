@@ -30,7 +30,7 @@ def fixture_texts() -> list[tuple[int | None, str | None]]:
         for _ in range(k % 6):
             words[rng.randrange(len(words))] = rng.choice(vocab)
         out.append(" ".join(words))
-    out += ["Same text here " * 9] * 4 + ["same text here " * 9, "one", "One", "two words", "", " \n ", "x" * 3000, "The " * 900, "😀 日本語 \u00a0 ﬁ ▁x  y\r\n\x0bz", "don't we'll 'sx a'B1c2 (x)y!z\n\nNew\n line\n", "<|endoftext|> a", "#$% & | |\n| a | b | c |\n"]
+    out += ["Same text here " * 9] * 4 + ["same text here " * 9, "one", "One", "two words", "", " \n ", "x" * 3000, "The " * 900, "😀 日本語 \u00a0 ﬁ ▁x  y\r\n\x0bz", "don't we'll 'sx a'B1c2 (x)y!z\n\nNew\n line\n", "<|endoftext|> a", "a<|endoftext|>b\n<|endoftext|><|startoftext|> c <|endof text|>", "x <|startoftext|>", "<|endoftext|>", "#$% & | |\n| a | b | c |\n"]
     out.append(text(6000))
     rows = [(i * 3 % 211, t) for i, t in enumerate(out)]
     return [*rows, (None, passage), (None, out[3]), (500, None), (501, None)]
@@ -63,7 +63,6 @@ def ids_of(name, rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for _, x in rows]
 
 
@@ -149,8 +148,15 @@ def test_signatures_agree_for_every_link():
             inter = len(np.intersect1d(x, y))
             if 100 * inter < percent * (2 * n - inter):
                 continue
-            _, _, key, doc = ngram_join.signatures(np.concatenate([x, y]), np.repeat([0, 1], n), 2, percent)
-            assert np.intersect1d(key[doc == 0], key[doc == 1]).size, (percent, n)
+            key, doc, inst = ngram_join.signatures(np.concatenate([x, y]), np.repeat([0, 1], n), 2, percent)
+            extra, seen = ngram_join.size_ranges(percent)[3], rng.permutation(len(key))  # any frequencies
+            seen = dict(zip(key[::-1].tolist(), seen.tolist(), strict=True))
+            left = [set(), set()]
+            for d in (0, 1):
+                for i in set(inst[doc == d].tolist()):
+                    own = sorted(key[(doc == d) & (inst == i)].tolist(), key=lambda k: (-seen[k], -k))
+                    left[d] |= set(own[extra[i] :])
+            assert left[0] & left[1], (percent, n)
 
 
 def test_quality_rules(docs, rows, empty):
