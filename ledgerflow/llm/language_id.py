@@ -134,8 +134,9 @@ def with_languages(df: DataFrame, fitted: tuple[list[str], np.ndarray], text_col
     """All columns of df, and lang_pred, score (share of that language), n_languages, mixture (language=share, comma
     separated).
 
-    'und' with score 0 where the text is null or has no letter, or nothing was learned.  One row per row of df, nulls
-    and repeated rows included; columns of df with one of these names are replaced.
+    'und' with score 0 where the text is null or has no letter, or nothing was learned; of equal shares the first language
+    by name is taken.  One row per row of df, nulls and repeated rows included, so an empty table gives an empty one;
+    texts of any length count whole; columns of df with one of these names are replaced.
     """
     languages, model = fitted
     made = ["lang_pred", "score", "n_languages", "mixture"]

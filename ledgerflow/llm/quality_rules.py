@@ -57,7 +57,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", rules: LineRules = Line
     (boolean), lost_percent (double) and clean_text (the lines that passed).
 
     A null or empty text has no words: base_failed, not kept, clean_text ''.  Rows are judged one by one, so repeated
-    rows get equal verdicts and an empty table gives an empty one.  Columns of df with one of these names are replaced.
+    rows get equal verdicts and an empty table gives an empty one; texts of any length are judged whole (a row must fit a
+    task), and a text that loses exactly the allowed share stays.  Columns of df with one of these names are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_percent", "clean_text"]
     keep = [F.col(f"`{c}`") for c in df.columns if c not in made]

@@ -168,7 +168,9 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, round_trip (and ids).
 
     The decoded text is the text with U+2581 as a space, as the model knows no other.  A null text is empty and has no
-    ids.  Repeated rows get equal results; an empty table gives an empty one.
+    ids.  Repeated rows get equal results, rows without an id keep a null, an empty table gives an empty one, and other
+    columns of df, whatever their names, are left out.  Texts of any length are encoded whole, a megabyte of new pieces at
+    a time; of equally good merges the leftmost is done first, as the library does it.
     """
     schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<long>" * keep_ids
 

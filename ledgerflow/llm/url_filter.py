@@ -107,8 +107,10 @@ def _adder(table: Column, s: Column, model: UrlModel):
 def url_filter(df: DataFrame, url_col: str = "url", rules=RULES, labelled=LABELLED, model: UrlModel = UrlModel(), threshold: float = 0.5) -> DataFrame:
     """All columns of df, and host, path, rule, verdict, block_score (the model's probability).
 
-    The longest rule that fits decides, else the model.  A null url, or one without '://', has an empty host and path
-    and gets the model's verdict on them.  Columns of df with one of these names are replaced; rows are judged alone.
+    The longest rule that fits decides, else the model; a probability of exactly the threshold allows.  A null url, or one
+    without '://', has an empty host and path and gets the model's verdict on them.  Columns of df with one of these
+    names are replaced.  Rows are judged alone, so repeated rows get equal verdicts, an empty table gives an empty one,
+    and a url is taken whole, however long.
     """
     weights, bias = fit(tuple(labelled), model)
     made = ["host", "path", "rule", "verdict", "block_score"]
