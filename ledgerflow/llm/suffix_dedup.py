@@ -104,9 +104,15 @@ def _second_pass(rows: DataFrame, rules: SuffixRules) -> DataFrame:
     return found.where(gone | contested).select("doc", "tkey", "at", "n", (~gone).alias("contested"))
 
 
+def _lists(runs_: DataFrame) -> DataFrame:
+    """doc, tkey and at, n of its runs as lists: of one text, however often it is there."""
+    sets = runs_.groupBy("doc", "tkey").agg(F.collect_set(F.struct("at", "n")).alias("r"))
+    return sets.select("doc", "tkey", F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+
+
 def _contested_runs(docs: DataFrame, contested: DataFrame, rules: SuffixRules) -> DataFrame:
     """doc, tkey, at, content of contested runs."""
-    lists = written(contested.groupBy("doc", "tkey").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")), "contested")
+    lists = written(_lists(contested), "contested")
 
     def contents(batches):
         for batch in batches:
@@ -148,7 +154,7 @@ def byte_digits(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarra
 
 
 def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
-    """doc, tkey, at of the suffixes of pieces (contested runs) that a smaller document has too."""
+    """doc, tkey, at, n of runs of suffixes of pieces (contested runs) that a smaller document has too."""
     digits = [f"d{i}" for i in range(-(-rules.length // 8))]
 
     def parts(batch):
@@ -176,12 +182,17 @@ def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
                 open_, later = local_first(tuple(d), own)
                 if len(open_):
                     salt = salts(sketch.frequent(shared.value[1], h[open_], bits), own[open_])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(x[open_] for x in d), salt, own[open_], key[open_], at[open_])], names)
-                if len(later):  # settled: they only pass through
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*(x[open_] for x in d), salt, own[open_], key[open_], at[open_], np.ones(len(open_), np.int32))], names)
+                if len(later):  # settled: they only pass through, a row for each run of places
+                    later = later[np.lexsort((at[later], key[later], own[later]))]
+                    new = np.ones(len(later), bool)
+                    new[1:] = (own[later[1:]] != own[later[:-1]]) | (key[later[1:]] != key[later[:-1]]) | (at[later[1:]] != at[later[:-1]] + 1)
+                    n = np.diff(np.append(np.flatnonzero(new), len(later))).astype(np.int32)
+                    later = later[new]
                     none, through = np.zeros(len(later), np.int64), row_hashes(own[later], key[later]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (through, *[none] * (len(d) - 1), np.full(len(later), -1, np.int16), own[later], key[later], at[later])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (through, *[none] * (len(d) - 1), np.full(len(later), -1, np.int16), own[later], key[later], at[later], n)], names)
 
-    names = [*digits, "s", "doc", "tkey", "at"]
+    names = [*digits, "s", "doc", "tkey", "at", "n"]
 
     def meet(batches):
         """Of sorted rows: those whose equal neighbours begin with a smaller document, and (open) the first of salted ones."""
@@ -199,15 +210,15 @@ def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
             gone = (salt < 0) | (doc > firsts[group])
             before = ([k[-1] for k in keys], firsts[group[-1]])
             use = pa.array(np.flatnonzero(gone | (salt > 0)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(use) for k in range(len(digits))), pa.array(~gone[gone | (salt > 0)]), *(batch.column(len(digits) + k).take(use) for k in (1, 2, 3))], [*digits, "open", "doc", "tkey", "at"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(use) for k in range(len(digits))), pa.array(~gone[gone | (salt > 0)]), *(batch.column(len(digits) + k).take(use) for k in (1, 2, 3, 4))], [*digits, "open", "doc", "tkey", "at", "n"])
 
     schema = ", ".join(f"{d} long" for d in digits)
-    found = pieces.mapInArrow(lean(deal), f"{schema}, s short, doc long, tkey long, at int").repartition(*digits[:3], "s").sortWithinPartitions(*digits, "s", "doc")
-    met = written(found.mapInArrow(lean(meet), f"{schema}, open boolean, doc long, tkey long, at int"), "suffix-rows")
+    found = pieces.mapInArrow(lean(deal), f"{schema}, s short, doc long, tkey long, at int, n int").repartition(*digits[:3], "s").sortWithinPartitions(*digits, "s", "doc")
+    met = written(found.mapInArrow(lean(meet), f"{schema}, open boolean, doc long, tkey long, at int, n int"), "suffix-rows")
     tidy(pieces.sparkSession)
     open_ = met.where("open")
     late = open_.join(open_.groupBy(*digits).agg(F.min("doc").alias("least")), digits).where("doc > least")
-    return met.where("not open").select("doc", "tkey", "at").unionByName(late.select("doc", "tkey", "at"))
+    return met.where("not open").select("doc", "tkey", "at", "n").unionByName(late.select("doc", "tkey", "at", "n"))
 
 
 def removed_mask(size: int, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -234,8 +245,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     late = written(_sorted_suffixes(pieces, rules), "third-pass")
     drop(pieces)
     tidy(df.sparkSession)
-    every = passed.where("not contested").select("doc", "tkey", "at", "n").unionByName(late.select("doc", "tkey", "at", F.lit(1).alias("n")))
-    lists = written(every.groupBy("doc", "tkey").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")), "removed-runs")
+    every = passed.where("not contested").select("doc", "tkey", "at", "n").unionByName(late)
+    lists = written(_lists(every), "removed-runs")
     tidy(df.sparkSession)
     hit, rest = split_touched(docs, lists)
     joined = hit.join(lists, ["doc", "tkey"], "left").select("doc", "text", "at", "n")
