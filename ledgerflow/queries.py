@@ -495,7 +495,8 @@ _EF = ("avg_amount", "avg_ratio", "ratio_std", "avg_lag", "max_lag", "avg_n_aler
 
 def _entity(spark, sf, zscores: bool = False):
     ev = _ev(spark, sf)
-    found = settled(motifs.run_all(ev))
+    found = motifs.run_all(ev)
+    found = settled(found) if zscores else found  # read twice then
     return features.entity_features(found, significance.null_zscore(found, ev) if zscores else None, features.node_degrees(ev), ev.select(F.sum("amount").alias("v")).scalar())
 
 
