@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media_columns, ngram_join, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, token_index, url_filter
+from . import filter_audit, language_id, line_dedup, media_columns, ngram_join, packing, periodic_runs, quality_rules, sentencepieces, substring_dedup, suffix_dedup, token_index, url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -78,8 +78,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of documents, a tenth of which get a repeat first."""
+    docs = periodic_runs.with_planted_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.periodic_runs(docs, details=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from documents in each of their 120 orders, by language."""
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines of earlier documents."""
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_index, op2_ngram_join, op3_quality_rules, op4_packing, op5_substring_dedup, op6_url_filter, op7_suffix_dedup, op8_media_columns, op9_language_id, op10_sentencepiece]
+    found = [op1_token_index, op2_ngram_join, op3_quality_rules, op4_packing, op5_substring_dedup, op6_url_filter, op7_suffix_dedup, op8_media_columns, op9_language_id, op10_sentencepiece, op11_periodic_runs, op12_filter_audit, op13_line_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -114,5 +130,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+_WORDS = "list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LETTERS = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS {0}) {0}"
+
+#: Each order is gone through filter by filter, for each kind of document.
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, {_WORDS} AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+  100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), doc_id > least] AS fails FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM {', '.join(_LETTERS.format(x) for x in 'abcde')} WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT g.*, filter_order, list_position(list_transform(range(1, 6), lambda i: fails[instr('ABCDE', filter_order[i])]), true) AS gone FROM g, o),
+x AS (SELECT *, step, instr('ABCDE', filter_order[step]) AS k FROM s, (SELECT unnest(range(1, 6)) AS step)),
+y AS (SELECT part, filter_order, step, k, sum(n) FILTER (gone IS NULL OR gone > step) AS kept, sum(n) FILTER (gone = step) AS removed, sum(n) FILTER (fails[k] AND gone < step) AS redundant,
+  sum(n) FILTER (fails[k] AND len(list_filter(fails, lambda z: z)) = 1) AS unique_fails, sum(n) FILTER (gone = step AND good = 1) AS good_lost, sum(n) FILTER (gone = step AND toxic = 1) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, k), 0) AS BIGINT) AS shapley FROM y
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10 GROUP BY 1),
+x AS (SELECT doc_id, line, i, coalesce(doc_id > least, false) AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM x GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op12_filter_audit": OP12_SQL, "op13_line_dedup": OP13_SQL}
