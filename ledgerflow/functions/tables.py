@@ -23,23 +23,45 @@ def _folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, computed once and reread: it outlives executors, and plans above it are short."""
+def cores(spark: SparkSession) -> int:
+    """Tasks that run side by side: a table that much is made of has as many files at least."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def settled(df: DataFrame, *by: str) -> DataFrame:
+    """df as a table in the shared folder, computed once and reread: it outlives executors, and plans above it are short.
+
+    by: columns by which rows are dealt to a file for each core at least, however few bytes they are: for tables that
+    are small and of which much is made.
+    """
     if getattr(df, "_settled", False):
         return df
     spark = df.sparkSession
     path = f"{_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = df.repartition(cores(spark), *(F.col(f"`{c}`") for c in by)) if by else df
+    rows.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = True
+    spark.__dict__.setdefault("_settled_paths", []).append(path)
     return out
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this session has settled, for a caller that is done with what was made of them; returns
+    their number."""
+    paths = spark.__dict__.pop("_settled_paths", [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def ranged(df: DataFrame, *order: str) -> DataFrame:
     """df dealt by ranges of the columns `order` and sorted, written once: __part numbers the ranges in ascending order,
     __place the rows of a range from 0."""
     cols = [F.col(f"`{c}`") for c in order]
-    rows = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id())
+    rows = df.repartitionByRange(cores(df.sparkSession), *cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id())
     return settled(rows.withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
 
 

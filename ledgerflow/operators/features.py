@@ -16,9 +16,12 @@ def _mean(a: Column) -> Column:
 
 
 def _exact_mean(name: str, places: int) -> Column:
-    """Mean over a group of values rounded to so many places: a sum of whole numbers, so no order of adding changes it."""
-    whole = F.round(F.col(name) * 10**places).cast("decimal(18,0)")
-    return F.try_divide(F.sum(whole).cast("double"), F.count(whole).cast("double") * 10**places)
+    """Mean over a group of values rounded to so many places: a sum of whole numbers, so no order of adding changes it.
+    A group with a value too large for 38 digits, or not a number, has the plain mean."""
+    value = F.col(name)
+    whole = F.round(value * 10**places).try_cast("decimal(38,0)")
+    exact = F.try_divide(F.try_sum(whole).cast("double"), F.count(whole).cast("double") * 10**places)
+    return F.when((F.count(whole) == F.count(value)) & F.try_sum(whole).isNotNull(), exact).otherwise(F.avg(value))
 
 
 def instance_stats(found: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ MATCHERS = {"fanin": find_fanin, "fanout": find_fanout, "cycle3": find_cycle3, "
 def run_all(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
     """All enabled types, from one written table of events.  max_instances, off by default, keeps the first of each type
     by first step and edges."""
-    df = settled(df) if len(cfg.enabled) > 1 else df
+    df = settled(df, *keys, "src_node", "step") if len(cfg.enabled) > 1 else df
     out = reduce(DataFrame.unionByName, [MATCHERS[t](df, cfg, keys) for t in cfg.enabled])
     if cfg.max_instances:
         first = Window.partitionBy(*keys, "motif_type").orderBy(F.array_min("steps"), F.array_join("edges", ","))

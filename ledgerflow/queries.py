@@ -153,7 +153,7 @@ def _rename_cte(sql: str, old: str, new: str) -> str:
 
 def _ev(spark: SparkSession, sf: str) -> DataFrame:
     """The events, written once: operators join them with themselves."""
-    return settled(views.event_flows(spark, sf))
+    return settled(views.event_flows(spark, sf), "src_node", "step")
 
 
 # ---- sources, windows, dictionary ----------------------------------------------------------------------------------

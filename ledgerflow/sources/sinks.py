@@ -23,11 +23,18 @@ def save_all(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") ->
     return {name: save_table(df, name, folder, fmt) for name, df in tables.items() if df is not None and not df.isEmpty()}
 
 
-def save_report(df: DataFrame, path: str) -> str:
-    """A small table (a report, a row a motif type or so) as one JSON object of its first column to the others, all rows
-    of it, written through Spark."""
+def save_report(df: DataFrame, path: str, most: int = 100_000) -> str:
+    """A small table (a report, a row a motif type or so) as one JSON object of its first column to the others, written
+    through Spark.  All rows are written: a table of more than `most` rows, or with one value in the first column twice,
+    raises a ValueError and writes nothing."""
     first, *rest = df.columns
-    return save_json(df.sparkSession, {str(r[first]): {c: r[c] for c in rest} for r in df.collect()}, path)
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: save it as a table")
+    report = {str(r[first]): {c: r[c] for c in rest} for r in rows}
+    if len(report) < len(rows):
+        raise ValueError(f"{first} has a value in several rows")
+    return save_json(df.sparkSession, report, path)
 
 
 def save_json(spark: SparkSession, report: dict, path: str) -> str:

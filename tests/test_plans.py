@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow.config import CommunityConfig, GraphConfig, MotifConfig
 from ledgerflow.functions import tables
@@ -160,3 +161,31 @@ def test_every_method(spark):
             got.setdefault(r.community_id, set()).add(r.node // 6)
         assert sorted(map(len, got.values())) == [1, 1, 1], method
     assert {r.community_id for r in detection.detect_communities(matrix, CommunityConfig(method="trivial")).collect()} == {0}
+
+
+@pytest.mark.parametrize("scale", [1e6, 1e12, 1e15, 1e35])
+def test_features_of_large_amounts(spark, scale):
+    rows = [(k, a, b, scale * (1 + k / 10), k, 0) for k, (a, b) in enumerate([(1, 2), (2, 3), (3, 4), (4, 5)])]
+    df = spark.createDataFrame(rows, "event_id long, src_node long, dst_node long, amount double, step int, is_sar int")
+    got = {(r.node, r.motif_type): r for r in pipelines.motif_pipeline(df).entity.collect()}
+    first, second = (sum(x[3] for x in rows[k : k + 3]) / 3 for k in (0, 1))
+    assert got[1, "relay4"].avg_amount == pytest.approx(first, rel=1e-12)
+    assert got[2, "relay4"].avg_amount == pytest.approx((first + second) / 2, rel=1e-12) and got[2, "relay4"]["count"] == 2
+
+
+def test_reports_refuse_to_lose_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/report"
+    with pytest.raises(ValueError, match="several rows"):
+        sinks.save_report(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), path)
+    with pytest.raises(ValueError, match="more than 3"):
+        sinks.save_report(spark.range(4).withColumn("v", F.lit(1)), path, most=3)
+    assert not (tmp_path / "report").exists()
+
+
+def test_events_are_dealt_to_all_cores_and_cleared(spark, hub):
+    _, df = hub
+    kept = tables.settled(df.coalesce(1), "src_node", "step")
+    assert len(kept.inputFiles()) == tables.cores(spark) and kept.count() == df.count()
+    assert tables.clear(spark) >= 1 and tables.clear(spark) == 0
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        kept.count()
