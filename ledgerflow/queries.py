@@ -712,30 +712,31 @@ def detect_infomap(spark, sf):
     return plain(detection.detect_communities(_window_matrix(spark, sf), CommunityConfig(method="infomap")))
 
 
-# What labels of any method must hold: every active node once, no community under the least size, none in several parts.
+# What labels of any method must hold: every active node once, no community under the least size or in several parts.
+# Those of the methods that look for modularity must be better by 0.05 than labels by node number; one community isn't.
 _METHODS = ("leiden", "infomap", "multilevel", "greedy", "trivial")
 
 
-@query(f"WITH {EV}, {_windows_sql(10, 10)}, a AS (SELECT window_id, count(DISTINCT node) AS n FROM (SELECT window_id, src_node AS node FROM wn UNION ALL SELECT window_id, dst_node FROM wn) GROUP BY 1) SELECT method, window_id, n AS nodes, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS small, CAST(0 AS BIGINT) AS worse_than_one FROM a, (SELECT unnest({list(_METHODS)}) AS method)")
+@query(f"""WITH {EV}, {_windows_sql(10, 10)}, mx AS (SELECT window_id, src_node AS i, dst_node AS j, sum(amount) AS w FROM wn GROUP BY 1, 2, 3), t AS (SELECT window_id, sum(w) AS m, coalesce(sum(w) FILTER (i % 20 = j % 20), 0) AS inside FROM mx GROUP BY 1),
+co AS (SELECT window_id, i % 20 AS c, sum(w) AS o FROM mx GROUP BY 1, 2), ci AS (SELECT window_id, j % 20 AS c, sum(w) AS n FROM mx GROUP BY 1, 2), cx AS (SELECT window_id, sum(o * n) AS x FROM co JOIN ci USING (window_id, c) GROUP BY 1),
+a AS (SELECT window_id, count(DISTINCT node) AS n FROM (SELECT window_id, i AS node FROM mx UNION ALL SELECT window_id, j FROM mx) GROUP BY 1)
+SELECT method, window_id, a.n AS nodes, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS small, CAST(0 AS BIGINT) AS broken, round(inside / m - x / (m * m), 6) AS q_by_number, CASE method WHEN 'infomap' THEN NULL WHEN 'trivial' THEN 0 ELSE 1 END AS better
+FROM t JOIN cx USING (window_id) JOIN a USING (window_id), (SELECT unnest({list(_METHODS)}) AS method)""")
 def detect_invariants(spark, sf):
-    matrix = settled(_window_matrix(spark, sf))
+    matrix = settled(_window_matrix(spark, sf), "window_id", "i")
+    by_number = edges.active_nodes(matrix, _KEYS).withColumn("community_id", F.col("node") % 20)
+    plain_q = settled(detection.modularity(matrix, by_number, _KEYS).withColumnRenamed("q", "q_by_number"))
     out = None
     for method in _METHODS:
         cfg = CommunityConfig(method=method)
-        labels = settled(detection.detect_communities(matrix, cfg))
+        labels = settled(detection.detect_communities(matrix, cfg, _KEYS))
         sizes = labels.where("community_id <> -1").groupBy("window_id", "community_id").agg(F.count("*").alias("n"))
         small = sizes.groupBy("window_id").agg(F.count(F.when(F.col("n") < cfg.min_comm_size, 1)).alias("small"))
-        # directed modularity of the labels, all in sums; one community has 0
-        m = matrix.join(labels.select("window_id", F.col("node").alias("i"), F.col("community_id").alias("a")), ["window_id", "i"]).join(labels.select("window_id", F.col("node").alias("j"), F.col("community_id").alias("b")), ["window_id", "j"])
-        m = m.withColumns({"a": F.when(F.col("a") == -1, -2 - F.col("i")).otherwise(F.col("a")), "b": F.when(F.col("b") == -1, -2 - F.col("j")).otherwise(F.col("b"))})  # noise: alone
-        whole = m.groupBy("window_id").agg(F.sum("w").alias("m"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
-        one, two = m.groupBy("window_id", F.col("a").alias("c")).agg(F.sum("w").alias("o")), m.groupBy("window_id", F.col("b").alias("c")).agg(F.sum("w").alias("i"))
-        chance = one.join(two, ["window_id", "c"]).groupBy("window_id").agg(F.sum(F.col("o") * F.col("i")).alias("x"))
-        score = whole.join(chance, "window_id", "left").withColumn("q", F.col("inside") / F.col("m") - F.coalesce("x", F.lit(0.0)) / (F.col("m") * F.col("m")))
+        broken = detection.connected_parts(matrix, labels, _KEYS).groupBy("window_id").agg(F.count(F.when(F.col("parts") > 1, 1)).alias("broken"))
         nodes = labels.groupBy("window_id").agg(F.countDistinct("node").alias("nodes"), (F.count("*") - F.countDistinct("node")).alias("repeated"))
-        rows = nodes.join(small, "window_id", "left").join(score, "window_id")
-        worse = (F.col("q") < -1e-6).cast("bigint") if method in ("leiden", "multilevel") else F.lit(0)
-        rows = rows.select(F.lit(method).alias("method"), "window_id", "nodes", "repeated", F.coalesce("small", F.lit(0)).alias("small"), worse.alias("worse_than_one"))
+        rows = nodes.join(small, "window_id", "left").join(broken, "window_id", "left").join(plain_q, "window_id").join(detection.modularity(matrix, labels, _KEYS), "window_id")
+        better = F.when(F.lit(method != "infomap"), (F.col("q") > F.col("q_by_number") + 0.05).cast("bigint"))
+        rows = rows.select(F.lit(method).alias("method"), "window_id", "nodes", "repeated", F.coalesce("small", F.lit(0)).alias("small"), F.coalesce("broken", F.lit(0)).alias("broken"), "q_by_number", better.alias("better"))
         out = rows if out is None else out.unionByName(rows)
     return plain(out)
 

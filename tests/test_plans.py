@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import sequential as detection
+
 from ledgerflow.config import CommunityConfig, GraphConfig, MotifConfig
 from ledgerflow.functions import tables
-from ledgerflow.operators import detection, motifs, significance, windows
+from ledgerflow.operators import detection as on_tables
+from ledgerflow.operators import motifs, significance, windows
 from ledgerflow.plans import pipelines
 from ledgerflow.sources import sinks, transactions
 
@@ -157,10 +160,10 @@ def test_every_method(spark):
     matrix = spark.createDataFrame(rows, "window_id int, i long, j long, w double")
     for method in ("leiden", "infomap", "multilevel", "greedy"):
         got: dict = {}
-        for r in detection.detect_communities(matrix, CommunityConfig(method=method)).collect():
+        for r in on_tables.detect_communities(matrix, CommunityConfig(method=method)).collect():
             got.setdefault(r.community_id, set()).add(r.node // 6)
         assert sorted(map(len, got.values())) == [1, 1, 1], method
-    assert {r.community_id for r in detection.detect_communities(matrix, CommunityConfig(method="trivial")).collect()} == {0}
+    assert {r.community_id for r in on_tables.detect_communities(matrix, CommunityConfig(method="trivial")).collect()} == {0}
 
 
 @pytest.mark.parametrize("scale", [1e6, 1e12, 1e15, 1e35])
