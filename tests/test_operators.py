@@ -168,6 +168,70 @@ def test_tracking(spark):
     assert (got[1, 1], got[1, 3], got[1, 9]) == (0, 1, -1)
 
 
+def plain_track(rows, thresh=0.25, memory=3):
+    """(window, node) to (id, size, overlap), window after window."""
+    out, buffer, counter = {}, [], 0
+    for w in sorted({r[0] for r in rows}):
+        own, latest = {}, {}
+        for _, n, c in (r for r in rows if r[0] == w and r[2] != -1):
+            own.setdefault(c, set()).add(n)
+        for named in buffer:
+            for g, nodes in named.items():
+                latest.update(dict.fromkeys(nodes, g))
+        past: dict = {}
+        for n, g in latest.items():
+            past.setdefault(g, set()).add(n)
+        claims: dict = {}
+        for c, nodes in own.items():
+            fits = [(-len(nodes & x) / len(nodes | x), g) for g, x in past.items() if nodes & x and len(nodes & x) / len(nodes | x) >= thresh]
+            if fits:
+                claims.setdefault(min(fits)[1], []).append((min(fits)[0], c))
+        ids = {min(x)[1]: g for g, x in claims.items()}
+        for c in sorted(own):
+            if c not in ids:
+                ids[c], counter = counter, counter + 1
+        before = buffer[-1] if buffer else {}
+        for _, n, c in (r for r in rows if r[0] == w):
+            over = max((len(own[c] & x) / len(own[c] | x) for x in before.values()), default=0.0) if c != -1 else 0.0
+            out[w, n] = (ids[c], len(own[c]), round(over, 4)) if c != -1 else (-1, 0, 0.0)
+        buffer = [*buffer, {ids[c]: x for c, x in own.items()}][-memory:]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tracking_of_conflicting_labels(spark, seed):
+    """Communities that claim one past one, come apart, come back after a gap, and windows of noise alone."""
+    rng = random.Random(seed)
+    groups, rows = {n: n // 6 for n in range(48)}, []
+    for w in range(0, 18, 2):
+        for n in range(48):
+            if rng.random() < 0.25:
+                groups[n] = rng.randrange(8)
+            if rng.random() < 0.8:
+                rows.append((w, n, -1 if w == 8 or rng.random() < 0.1 else groups[n] * 3))
+    got = {(r.window_id, r.node): (r.global_cid, r.community_size, r.overlap_score) for r in tracking.track(spark.createDataFrame(rows, LABELS).repartition(4)).collect()}
+    assert got == plain_track(rows)
+    assert len({v[0] for v in got.values()}) > 10
+
+
+def test_tracking_of_nothing(spark):
+    nothing = spark.createDataFrame([], LABELS)
+    assert tracking.track(nothing).count() == 0 and tracking.track(nothing).columns == ["window_id", "node", "global_cid", "community_size", "overlap_score"]
+    assert [r.global_cid for r in tracking.track(spark.createDataFrame([(3, 1, -1)], LABELS)).collect()] == [-1]
+
+
+def test_tracking_jobs_do_not_grow_with_windows(spark):
+    jobs = {}
+    for windows_ in (6, 24):
+        df = spark.createDataFrame([(w, n, n // 5) for w in range(windows_) for n in range(20)], LABELS).cache()
+        df.count()
+        spark.sparkContext.setJobGroup(f"track-{windows_}", "")
+        assert tracking.track(df).count() == 20 * windows_
+        jobs[windows_] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"track-{windows_}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[24] < jobs[6] * 1.6
+
+
 def test_shuffle_keeps_each_source_steps(spark):
     df = events(spark, *[(s, s % 3, 9, 1.0) for s in range(12)])
     out = significance.shuffle_steps(df, 2)
