@@ -116,8 +116,8 @@ def test_no_window_is_one_task(spark):
     """The plan of a round has no window, group map or Python in it."""
     matrix, _ = random_windows(spark)
     g = on_tables._graph(matrix.withColumnRenamed("window_id", "k").where("w > 0"))
-    plan = on_tables._best(on_tables._near(g, on_tables._alone(g), False), 1.0)._jdf.queryExecution().toString()
-    assert "Window" not in plan.replace("window_id", "") and "Pandas" not in plan and "Python" not in plan
+    plan = on_tables._round(g, on_tables._alone(g), 1.0, "true", "q")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def test_map_equation_on_tables(spark):
