@@ -713,7 +713,7 @@ def detect_infomap(spark, sf):
 
 
 # What labels of any method must hold: every active node once, no community under the least size or in several parts.
-# Those of the methods that look for modularity must be better by 0.05 than labels by node number; one community isn't.
+# Those of the methods that look for modularity must be better by 0.05 than labels by node number and than one community.
 _METHODS = ("leiden", "infomap", "multilevel", "greedy", "trivial")
 
 
@@ -735,7 +735,7 @@ def detect_invariants(spark, sf):
         broken = detection.connected_parts(matrix, labels, _KEYS).groupBy("window_id").agg(F.count(F.when(F.col("parts") > 1, 1)).alias("broken"))
         nodes = labels.groupBy("window_id").agg(F.countDistinct("node").alias("nodes"), (F.count("*") - F.countDistinct("node")).alias("repeated"))
         rows = nodes.join(small, "window_id", "left").join(broken, "window_id", "left").join(plain_q, "window_id").join(detection.modularity(matrix, labels, _KEYS), "window_id")
-        better = F.when(F.lit(method != "infomap"), (F.col("q") > F.col("q_by_number") + 0.05).cast("bigint"))
+        better = F.when(F.lit(method != "infomap"), (F.col("q") > F.greatest(F.col("q_by_number"), F.lit(0.0)) + 0.05).cast("bigint"))
         rows = rows.select(F.lit(method).alias("method"), "window_id", "nodes", "repeated", F.coalesce("small", F.lit(0)).alias("small"), F.coalesce("broken", F.lit(0)).alias("broken"), "q_by_number", better.alias("better"))
         out = rows if out is None else out.unionByName(rows)
     return plain(out)
