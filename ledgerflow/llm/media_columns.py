@@ -316,7 +316,7 @@ def _grouped(column: pa.Array, limit: int = 1 << 21):
     files, size, at = [], 0, 0
     for i, x in enumerate(column):
         files.append(x.as_py())
-        size += len(files[-1])
+        size += len(files[-1] or b"")
         if size >= limit:
             yield at, files
             files, size, at = [], 0, i + 1
@@ -324,26 +324,45 @@ def _grouped(column: pa.Array, limit: int = 1 << 21):
         yield at, files
 
 
+def _decoded_or_not(files: list[bytes | None]) -> list[tuple[tuple | None, str | None]]:
+    """(what decode_files() gives, None) of each file, or (None, the reason) where it can't be decoded."""
+    try:
+        return [(x, None) if len(x[0]) else (None, "no frames") for x in decode_files(files)]
+    except (ValueError, IndexError, TypeError, struct.error) as e:
+        if len(files) == 1:
+            return [(None, "no file" if files[0] is None else f"{type(e).__name__}: {e}")]
+    return [_decoded_or_not([x])[0] for x in files]  # the good ones of the run by themselves
+
+
 def decode_media(df: DataFrame, rules: ShotRules = ShotRules()) -> DataFrame:
     """doc_id, n_bytes, and from the stored bytes alone: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (frames, shots and mean sample), clips (one row of frames and seconds for each shot)."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<first:int,end:int,from_s:double,to_s:double>>"
+    media_sha256, feature (frames, shots and mean sample), clips (one row of frames and seconds for each shot), error.
+
+    A null media, a cut file or one of another process has null features and the reason in error (media_bytes and
+    media_sha256 are those of what is there); error is null for all others.  An empty table gives an empty one; repeated
+    rows and rows without an id are rows like others.
+    """
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips array<struct<first:int,end:int,from_s:double,to_s:double>>, error string"
     clip = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("from_s", pa.float64()), ("to_s", pa.float64())]))
 
     def read(batches):
         for batch in batches:
             for at, files in _grouped(batch.column(2)):
                 rows = []
-                for data, (body, payload, rate) in zip(files, decode_files(files), strict=True):
+                for data, (decoded, error) in zip(files, _decoded_or_not(files), strict=True):
+                    if decoded is None:
+                        rows.append((None, None, None, *((None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())), None, None, error))
+                        continue
+                    body, payload, rate = decoded
                     n, height, _ = body.shape
                     raw = body.tobytes()[:payload]
                     found = shots(body, rate, rules)
                     mean = int(body.sum(dtype=np.int64)) * 1000 // max(1, len(raw))
-                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={n};height={height};shots={len(found)};cuts={'+'.join(str(f[0]) for f in found[1:])};mean={mean}", [dict(zip(("first", "end", "from_s", "to_s"), f, strict=True)) for f in found]))
+                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={n};height={height};shots={len(found)};cuts={'+'.join(str(f[0]) for f in found[1:])};mean={mean}", [dict(zip(("first", "end", "from_s", "to_s"), f, strict=True)) for f in found], None))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip)
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.string())
                 ids = [batch.column(k).slice(at, len(files)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"])
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"])
 
     return df.select("doc_id", "n_bytes", "media").mapInArrow(read, schema)
 

@@ -225,3 +225,21 @@ def test_lines_of_very_many_tasks(spark, monkeypatch):
     rows = [(k, f"A line that all have\nline number {k // 2}\nA line that all have") for k in range(200, 0, -1)]
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
     assert result(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == plain_lines(rows)
+
+
+def test_broken_media(spark):
+    """Null, cut and foreign files have a reason; the files beside them are decoded as by themselves."""
+    from ledgerflow.llm import media_columns
+
+    texts = [(1, "A text."), (2, "another one " * 40), (3, None), (4, "x" * 300)]
+    good = media_columns.encode_media(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    rows = [(r.doc_id, r.n_bytes, bytes(r.media)) for r in good]
+    rows += [(5, 0, None), (None, 3, rows[1][2][:-200]), (7, 3, rows[1][2][:40]), (8, 3, b""), (9, 3, b"RIFF????AVI LIST" * 9), (10, 3, rows[1][2].replace(b"\xff\xc3", b"\xff\xc0"))]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media_columns.decode_media(df).collect()}
+    alone = {r.doc_id: r for r in media_columns.decode_media(df.where("doc_id < 5")).collect()}
+    assert all(got[k] == alone[k] and got[k].error is None and got[k].payload_bytes for k in (1, 2, 3, 4))
+    for k in (5, None, 7, 8, 9, 10):
+        assert got[k].error and got[k].payload_sha256 is None and got[k].feature is None and got[k].clips is None
+    assert got[5].error == "no file" and got[5].media_bytes is None and got[8].media_bytes == 0
+    assert media_columns.decode_media(df.where("doc_id = 99")).count() == 0
