@@ -1,7 +1,7 @@
 """Settings of all operators.  Names and defaults of the fields are fixed values: they are part of the interface.
 
 Kept, but read by nothing here (windows are arguments of the plans, and no clustering looks back): LoadConfig.window_size
-and window_stride, window_sizes, GraphConfig.min_amount, CommunityConfig.lambda_temporal and stride.
+and window_stride, window_sizes, CommunityConfig.lambda_temporal and stride.
 """
 
 from __future__ import annotations

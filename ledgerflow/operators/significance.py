@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MOTIFS, MotifConfig
+from ..functions.tables import numbered
 from .motifs import run_all
 
 
@@ -30,12 +31,13 @@ def shuffle_steps(df: DataFrame, n_permutations: int, seed: int = 42, sample_fra
     if sample_frac < 1:
         perms = perms.where(F.pmod(F.xxhash64("perm_id", "event_id", F.lit(seed)), F.lit(1_000_000)) < int(sample_frac * 1_000_000))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("event_id").cast("string")))
-    by = Window.partitionBy("perm_id", "src_node")
-    # the k-th event in time gets the k-th step of the shuffled order: both ranks in one partitioning
-    ranked = perms.withColumn("__own", F.row_number().over(by.orderBy("step", "event_id"))).withColumn("__new", F.row_number().over(by.orderBy(key, "event_id")))
-    taken = ranked.select(F.col("perm_id"), F.col("src_node"), F.col("__new").alias("__own"), F.col("step").alias("__step"))
+    # sources lie one after the other in both orders, so the k-th event in time and the k-th of the shuffled order of a
+    # source have one number in both; numbers come from ranges of a sort, so a source with very many events is many ranges
+    own = numbered(perms, ("perm_id", "src_node", "step", "event_id"), "__n")
+    dealt = perms.select("perm_id", "src_node", key.alias("__key"), "event_id", F.col("step").alias("__step"))
+    dealt = numbered(dealt, ("perm_id", "src_node", "__key", "event_id"), "__n").select("__n", "__step")
     rest = [c for c in df.columns if c != "step"]
-    return ranked.join(taken, ["perm_id", "src_node", "__own"]).select("perm_id", *rest, F.col("__step").alias("step"))
+    return own.join(dealt, "__n").select("perm_id", *rest, F.col("__step").alias("step"))
 
 
 def null_zscore(observed: DataFrame, df: DataFrame, cfg: MotifConfig = MotifConfig(), seed: int = 42, n_permutations: int | None = None, sample_frac: float = 1.0, null_cap: int | None = None, observed_only: bool = False) -> DataFrame:

@@ -28,7 +28,9 @@ class GraphResult:
 
 
 def graph_pipeline(df: DataFrame, cfg: GraphConfig = GraphConfig(), all_windows: bool = True) -> GraphResult:
-    """Canonical transactions to encoded ones and their edge tables by window (or of the first window alone)."""
+    """Canonical transactions of over cfg.min_amount to encoded ones and their edge tables by window (or of the first
+    window alone)."""
+    df = df.where(F.col("amount") > cfg.min_amount)
     encoded, node_map = encoding.fit_transform(df)
     encoded = settled(encoded)
     rows = encoded

@@ -226,6 +226,13 @@ def encode(spark, sf):
     return plain(encoding.fit_transform(_ev(spark, sf))[0].select("event_id", "src_node", "dst_node"))
 
 
+@query(CATALOGUE["encode"][1])
+def encode_strict(spark, sf):
+    """With the dictionary fitted before, and a look for labels that it hasn't."""
+    ev = _ev(spark, sf)
+    return plain(encoding.transform(ev, encoding.fit(ev), strict=True).select("event_id", "src_node", "dst_node"))
+
+
 @query(f"WITH {EV} SELECT event_id, CAST(src_node AS VARCHAR) AS label FROM ev")
 def decode(spark, sf):
     coded, names = encoding.fit_transform(_ev(spark, sf))
@@ -342,6 +349,16 @@ def relay_edges(spark, sf):
     return plain(edges.relay_edges(edges.snapshot_edges(_ev(spark, sf))), 4)
 
 
+_BY_WINDOW = f"{_windows_sql(14, 7)}, sw AS (SELECT window_id, src_node, dst_node, sum(amount) AS weight FROM wn GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {EV}, {_BY_WINDOW} SELECT src_node, dst_node, round(sum(weight), 4) AS weight, count(*) AS tx_count FROM sw GROUP BY 1, 2")
+def relay_edges_rows(spark, sf):
+    """Snapshot edges of all windows met, counted as rows: the windows that an edge is in."""
+    w = windows.number_windows(windows.assign_windows(_ev(spark, sf), 14, 7))
+    return plain(edges.relay_edges(edges.snapshot_edges(w, ("window_id",)), count_rows=True), 4)
+
+
 _PLAN = f"""{EV}, {_DICT}, en AS (SELECT a.node_id AS src_node, b.node_id AS dst_node, step, amount, is_sar FROM ev JOIN nd a ON a.raw_id = src_node JOIN nd b ON b.raw_id = dst_node), {_windows_sql(30, 15, 'en')},
 rel AS (SELECT a.window_id, a.src_node AS src_2nd, b.dst_node AS dst_2nd, a.amount AS x, b.amount AS y FROM wn a JOIN wn b ON a.window_id = b.window_id AND a.dst_node = b.src_node AND b.step - a.step BETWEEN 1 AND 5 AND a.src_node <> b.dst_node)
 SELECT window_id, src_2nd, dst_2nd, count(*) AS count, round(sum(x), 4) AS weight_src, round(sum(y), 4) AS weight_dst FROM rel"""
@@ -451,8 +468,17 @@ grid AS (SELECT t, p, coalesce(n, 0) AS n FROM (SELECT unnest(['fanin', 'fanout'
 SELECT t AS motif_type, round(avg(n), 2) AS null_mean, round(stddev_pop(n), 2) AS null_std FROM grid GROUP BY 1""")
 def null_zscore(spark, sf):
     ev = _ev(spark, sf)
-    empty = motifs.run_all(ev.where("event_id < 0"))
-    return plain(significance.null_zscore(empty, ev, n_permutations=2).select("motif_type", "null_mean", "null_std"))
+    return plain(significance.null_zscore(motifs.run_all(ev), ev, n_permutations=2).select("motif_type", "null_mean", "null_std"))
+
+
+@query(f"""WITH RECURSIVE {EV}, {_PERM.format(n=2)}, {_all_motifs('sh', ('perm_id',))}, nul AS (SELECT motif_type, perm_id, least(count(*), 400) AS n FROM found GROUP BY 1, 2),
+grid AS (SELECT t, p, coalesce(n, 0) AS n FROM (SELECT unnest(['fanin', 'fanout', 'cycle3', 'relay4', 'split_merge']) AS t) CROSS JOIN (SELECT unnest(range(0, 2)) AS p) LEFT JOIN nul ON motif_type = t AND perm_id = p),
+ob AS (WITH RECURSIVE {_all_motifs()} SELECT motif_type, count(*) AS n FROM found GROUP BY 1)
+SELECT t AS motif_type, max(coalesce(ob.n, 0)) AS observed, round(avg(grid.n), 2) AS null_mean, round(stddev_pop(grid.n), 2) AS null_std FROM grid LEFT JOIN ob ON motif_type = t GROUP BY 1""")
+def null_zscore_capped(spark, sf):
+    """The cost control null_cap: a type counts 400 instances a permutation at most."""
+    ev = _ev(spark, sf)
+    return plain(significance.null_zscore(motifs.run_all(ev), ev, n_permutations=2, null_cap=400).select("motif_type", "observed", "null_mean", "null_std"))
 
 
 _ZSCORE = f"""WITH RECURSIVE {_PERM.format(n=MotifConfig().n_permutations)}, {_all_motifs('sh', ('perm_id',))}, nul AS (SELECT motif_type, perm_id, count(*) AS n FROM found GROUP BY 1, 2),
@@ -469,6 +495,12 @@ def motif_zscore(spark, sf):
     return plain(significance.null_zscore(motifs.run_all(ev), ev))
 
 
+@query(f"WITH RECURSIVE {EV}, zs AS ({_ZSCORE}), {_all_motifs()} SELECT motif_type, {_text('ed')} AS edges FROM found JOIN zs USING (motif_type) WHERE zscore >= 2")
+def motif_filter_z(spark, sf):
+    """Instances of types that the z-scored run of the motif plan keeps."""
+    return plain(pipelines.motif_pipeline(_ev(spark, sf), with_zscores=True).kept.select("motif_type", "edges"))
+
+
 _STATS = """fs AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: st[i] - st[i - 1]) AS lg, list_transform(range(2, len(st) + 1), lambda i: round(am[i] / am[i - 1], 4)) AS rt FROM found),
 en AS (SELECT motif_type, unnest(list_distinct(nd)) AS node, CAST(round(list_avg(am) * 1e6) AS HUGEINT) AS aa, CAST(round(list_avg(rt) * 1e9) AS HUGEINT) AS ar, CAST(round(list_stddev_pop(rt) * 1e9) AS HUGEINT) AS rs,
   CAST(round(list_avg(lg) * 1e9) AS HUGEINT) AS al_, list_max(lg) AS ml, CAST(list_sum(al) AS BIGINT) AS na FROM fs),
@@ -543,6 +575,30 @@ def topk_neighbors(spark, sf):
     return plain(com.apply_weighting(edges.snapshot_edges(_ev(spark, sf))).select("src_node", "dst_node", "weight"), 4)
 
 
+_FACTOR = "exp(-abs(ln(node_out / (node_in + 1e-9) + 1e-9)))"
+
+
+@query(f"""WITH {EV}, {_RELAY}, so AS (SELECT src_1 AS src_node, dst_2 AS dst_node, sum(amount_1) AS weight, avg(step_2 - step_1) AS avg_gap FROM rel WHERE src_1 <> dst_2 GROUP BY 1, 2),
+wt AS (SELECT *, sum(weight) OVER (PARTITION BY src_node) AS node_out, sum(weight) OVER (PARTITION BY dst_node) AS node_in FROM so), ww AS (SELECT src_node, dst_node, weight * {_FACTOR} * exp(-0.5 * avg_gap / 5) AS weight FROM wt)
+SELECT src_node, dst_node, round(weight, 4) AS weight FROM ww WHERE weight >= 0.01""")
+def edge_weighting_gap(spark, sf):
+    """Second-order edges, whose mean gap makes the time factor."""
+    second = edges.second_order_edges(edges.temporal_edges(_ev(spark, sf)))
+    second = second.select(F.col("src_2nd").alias("src_node"), F.col("dst_2nd").alias("dst_node"), F.col("weight_src").alias("weight"), "avg_gap")
+    return plain(com.apply_weighting(second, delta_w=5, sparsify=False).select("src_node", "dst_node", "weight"), 4)
+
+
+@query(f"""WITH {EV}, {_BY_WINDOW}, wt AS (SELECT *, sum(weight) OVER (PARTITION BY window_id, src_node) AS node_out, sum(weight) OVER (PARTITION BY window_id, dst_node) AS node_in FROM sw),
+ww AS (SELECT window_id, src_node, dst_node, weight * {_FACTOR} AS w FROM wt), kept AS (SELECT * FROM ww WHERE w >= 0.01 QUALIFY row_number() OVER (PARTITION BY window_id, src_node ORDER BY w DESC, dst_node) <= 10),
+n AS (SELECT window_id, count(DISTINCT node) AS n_active FROM (SELECT window_id, src_node AS node FROM kept UNION ALL SELECT window_id, dst_node FROM kept) GROUP BY 1)
+SELECT window_id, round(sum(w), 4) AS m_t, count(*) AS n_edges, any_value(n_active) AS n_active FROM kept JOIN n USING (window_id) GROUP BY 1""")
+def window_graph_weighted(spark, sf):
+    """Window graphs of weighted edges, the ten best of each source."""
+    keys = ("window_id",)
+    w = windows.number_windows(windows.assign_windows(_ev(spark, sf), 14, 7))
+    return plain(edges.window_stats(edges.adjacency(com.apply_weighting(edges.snapshot_edges(w, keys), keys=keys), keys), keys), 4)
+
+
 _LABELS = f"""{_windows_sql(10, 10)}, lb AS (SELECT DISTINCT window_id, node, CASE WHEN node % 20 = 19 THEN -1 ELSE node % 20 END AS global_cid FROM (SELECT window_id, src_node AS node FROM wn UNION ALL SELECT window_id, dst_node FROM wn))"""
 _KEYS = ("window_id",)
 
@@ -671,6 +727,15 @@ def jaccard_overlap(spark, sf):
     return plain(tracking.jaccard_overlap(now, past))
 
 
+@query(f"WITH {EV}, {_LABELS}, a AS (SELECT window_id, node, global_cid AS cid FROM lb WHERE global_cid <> -1), b AS (SELECT window_id + 1 AS window_id, node, node % 13 AS gcid FROM lb), m AS (SELECT window_id, cid, gcid, count(*) AS inter FROM a JOIN b USING (window_id, node) GROUP BY 1, 2, 3) SELECT window_id, CAST(cid AS BIGINT) AS cid, CAST(gcid AS BIGINT) AS gcid, inter, round(inter / (na + nb - inter), 6) AS jaccard FROM m JOIN (SELECT window_id, cid, count(*) AS na FROM a GROUP BY 1, 2) USING (window_id, cid) JOIN (SELECT window_id, gcid, count(*) AS nb FROM b GROUP BY 1, 2) USING (window_id, gcid)")
+def jaccard_overlap_all(spark, sf):
+    """Every window with the one before."""
+    _, labels = _stand_in(spark, sf)
+    now = labels.where("global_cid <> -1").select("window_id", "node", F.col("global_cid").alias("cid"))
+    past = labels.select((F.col("window_id") + 1).alias("window_id"), "node", (F.col("node") % 13).alias("gcid"))
+    return plain(tracking.jaccard_overlap(now, past, _KEYS))
+
+
 @query(f"WITH {EV}, {_LABELS} SELECT CAST(global_cid AS BIGINT) AS global_cid, count(DISTINCT window_id) AS n_windows FROM lb WHERE global_cid <> -1 GROUP BY 1")
 def persistence(spark, sf):
     return plain(tracking.persistence(_stand_in(spark, sf)[1]))
