@@ -124,12 +124,52 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions)
 
 
+def _weighed(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """df with src_load and dst_load: the events that its source and its target have."""
+    ends = df.select(*keys, F.explode(F.array("src_node", "dst_node")).alias("__node"))
+    load = ends.groupBy(*keys, "__node").agg(F.count("*").alias("__load"))
+    for end in ("src", "dst"):
+        df = df.join(load.select(*keys, F.col("__node").alias(f"{end}_node"), F.col("__load").alias(f"{end}_load")), [*keys, f"{end}_node"])
+    return df
+
+
+def cycle_pairs(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of edges of a cycle a: u to v, b: v to w, c: w to u, that meet in the node of the cycle with the fewest
+    events (v before w before u among equals): (a, b) at v, (b, c) at w, (a, c) at u.
+
+    A node with very many events only joins edges whose other ends have as many, so pairs don't grow with the square of a
+    hub's events.
+    """
+    rows = settled(_weighed(df, keys), *keys, "src_node", "step")
+
+    def edge(p: str) -> DataFrame:
+        loads = {f"{p}_src_load": F.col("src_load"), f"{p}_dst_load": F.col("dst_load")}
+        named = {f"{p}_{c}": F.col(s) for c, s in (("src", "src_node"), ("dst", "dst_node"), ("step", "step"), ("event_id", "event_id"))}
+        alert = F.col("is_sar") if "is_sar" in rows.columns else F.lit(0)
+        cols = named | loads | {f"{p}_amount": F.col("amount").cast("double"), f"{p}_alert": alert.cast("int")} | {f"{p}_{k}": F.col(k) for k in keys}
+        return rows.where("src_node <> dst_node").select(*(c.alias(n) for n, c in cols.items()))
+
+    a, b, c = edge("a"), edge("b"), edge("c")
+    late_b, late_c = _reached(b, "b", cfg.delta), _reached(c, "c", cfg.delta)
+    col = F.col
+    at_v = a.where("a_dst_load <= a_src_load").join(late_b.where("b_src_load <= b_dst_load"), _all([*_next("a", "b", cfg, keys), col("b_dst") != col("a_src")]))
+    at_w = late_b.where("b_dst_load < b_src_load").join(late_c.where("c_src_load <= c_dst_load"), _all([*_next("b", "c", cfg, keys), col("c_dst") != col("b_src")]))
+    lag, met = col("c_step") - col("a_step"), _stretch(col("a_step"), 2 * cfg.delta) == col("c_stretch")
+    back = [*_same("a", "c", keys), col("c_dst") == col("a_src"), met, lag > 1, lag <= 2 * cfg.delta, col("c_src") != col("a_dst")]
+    at_u = a.where("a_src_load < a_dst_load").join(_reached(c, "c", 2 * cfg.delta).where("c_dst_load < c_src_load"), _all(back))
+    return at_v, at_w, at_u
+
+
 def find_cycle3(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """u to v to w to u, three nodes."""
+    """u to v to w to u, three nodes: pairs of edges at the least node of each cycle, closed by the third edge, whose both
+    ends are then known."""
+    at_v, at_w, at_u = cycle_pairs(df, cfg, keys)
     a, b, c = (_named(df, p, keys) for p in "abc")
-    b, c = _reached(b, "b", cfg.delta), _reached(c, "c", cfg.delta)
-    pairs = a.join(b, _all([*_next("a", "b", cfg, keys), F.col("b_dst") != F.col("a_src"), F.col("b_dst") != F.col("a_dst"), F.col("a_src") != F.col("a_dst")]))
-    rows = pairs.join(c, _all([*_next("b", "c", cfg, keys), F.col("c_dst") == F.col("a_src")]))
+    first = at_v.join(_reached(c, "c", cfg.delta), _all([*_next("b", "c", cfg, keys), F.col("c_dst") == F.col("a_src")]))
+    second = at_w.join(a, _all([*_next("a", "b", cfg, keys), F.col("a_src") == F.col("c_dst")]))
+    third = at_u.drop("c_stretch").join(_reached(b, "b", cfg.delta), _all([*_next("a", "b", cfg, keys), F.col("b_dst") == F.col("c_src"), F.col("c_step") > F.col("b_step"), F.col("c_step") - F.col("b_step") <= cfg.delta, _ratio_ok(F.col("b_amount"), F.col("c_amount"), cfg)]))
+    names = [f"{p}_{x}" for p in "abc" for x in (*keys, "src", "dst", "step", "event_id", "amount", "alert")]
+    rows = first.select(*names).unionByName(second.select(*names)).unionByName(third.select(*names))
     rows = rows.withColumns({k: F.col(f"a_{k}") for k in keys})
     return instances(rows, "cycle3", F.array("a_src", "a_dst", "b_dst", "a_src"), F.array(_event("a"), _event("b"), _event("c")), keys)
 

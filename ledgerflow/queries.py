@@ -495,10 +495,10 @@ def motif_zscore(spark, sf):
     return plain(significance.null_zscore(motifs.run_all(ev), ev))
 
 
-@query(f"WITH RECURSIVE {EV}, zs AS ({_ZSCORE}), {_all_motifs()} SELECT motif_type, {_text('ed')} AS edges FROM found JOIN zs USING (motif_type) WHERE zscore >= 2")
+@query(f"WITH RECURSIVE {EV}, zs AS ({_ZSCORE}), {_all_motifs()} SELECT motif_type, {_text('ed')} AS edges FROM found JOIN zs USING (motif_type) WHERE zscore >= -1.1")
 def motif_filter_z(spark, sf):
-    """Instances of types that the z-scored run of the motif plan keeps."""
-    return plain(pipelines.motif_pipeline(_ev(spark, sf), with_zscores=True).kept.select("motif_type", "edges"))
+    """Instances of types that the z-scored run of the motif plan keeps, at a bound that some types reach."""
+    return plain(pipelines.motif_pipeline(_ev(spark, sf), MotifConfig(z_min=-1.1), with_zscores=True).kept.select("motif_type", "edges"))
 
 
 _STATS = """fs AS (SELECT *, list_transform(range(2, len(st) + 1), lambda i: st[i] - st[i - 1]) AS lg, list_transform(range(2, len(st) + 1), lambda i: round(am[i] / am[i - 1], 4)) AS rt FROM found),
