@@ -19,6 +19,9 @@ from ..functions.tables import settled
 #: Length of a stretch of time, in reaches: one row in so many is there twice.
 STRETCH = 8
 
+#: A node with more events than that is a hub: then edges of cycles meet in the node of the cycle with the fewest events.
+HUB = 10_000
+
 COLUMNS = ("motif_type", "nodes", "edges", "steps", "amounts", "lags", "ratios", "n_alert")
 
 
@@ -124,10 +127,14 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions)
 
 
+def _loads(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    ends = df.select(*keys, F.explode(F.array("src_node", "dst_node")).alias("__node"))
+    return ends.groupBy(*keys, "__node").agg(F.count("*").alias("__load"))
+
+
 def _weighed(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """df with src_load and dst_load: the events that its source and its target have."""
-    ends = df.select(*keys, F.explode(F.array("src_node", "dst_node")).alias("__node"))
-    load = ends.groupBy(*keys, "__node").agg(F.count("*").alias("__load"))
+    load = settled(_loads(df, keys))
     for end in ("src", "dst"):
         df = df.join(load.select(*keys, F.col("__node").alias(f"{end}_node"), F.col("__load").alias(f"{end}_load")), [*keys, f"{end}_node"])
     return df
@@ -161,10 +168,16 @@ def cycle_pairs(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str
 
 
 def find_cycle3(df: DataFrame, cfg: MotifConfig = MotifConfig(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """u to v to w to u, three nodes: pairs of edges at the least node of each cycle, closed by the third edge, whose both
-    ends are then known."""
-    at_v, at_w, at_u = cycle_pairs(df, cfg, keys)
+    """u to v to w to u, three nodes.  Without a hub, edges meet in time order; with one (by a count of events a node) in
+    the least node of each cycle, and the third edge, whose both ends are then known, closes it.  Rows are the same."""
     a, b, c = (_named(df, p, keys) for p in "abc")
+    if _loads(df, keys).where(F.col("__load") > HUB).isEmpty():
+        b, c = _reached(b, "b", cfg.delta), _reached(c, "c", cfg.delta)
+        pairs = a.join(b, _all([*_next("a", "b", cfg, keys), F.col("b_dst") != F.col("a_src"), F.col("b_dst") != F.col("a_dst"), F.col("a_src") != F.col("a_dst")]))
+        rows = pairs.join(c, _all([*_next("b", "c", cfg, keys), F.col("c_dst") == F.col("a_src")]))
+        rows = rows.withColumns({k: F.col(f"a_{k}") for k in keys})
+        return instances(rows, "cycle3", F.array("a_src", "a_dst", "b_dst", "a_src"), F.array(_event("a"), _event("b"), _event("c")), keys)
+    at_v, at_w, at_u = cycle_pairs(df, cfg, keys)
     first = at_v.join(_reached(c, "c", cfg.delta), _all([*_next("b", "c", cfg, keys), F.col("c_dst") == F.col("a_src")]))
     second = at_w.join(a, _all([*_next("a", "b", cfg, keys), F.col("a_src") == F.col("c_dst")]))
     third = at_u.drop("c_stretch").join(_reached(b, "b", cfg.delta), _all([*_next("a", "b", cfg, keys), F.col("b_dst") == F.col("c_src"), F.col("c_step") > F.col("b_step"), F.col("c_step") - F.col("b_step") <= cfg.delta, _ratio_ok(F.col("b_amount"), F.col("c_amount"), cfg)]))

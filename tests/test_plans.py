@@ -46,11 +46,24 @@ def test_chains_through_a_hub(hub):
     assert edges_of(motifs.find_relay4(df)) == sorted((a[0], b[0], c[0]) for a, b, c in three if c[2] not in (a[1], a[2], b[2]))
 
 
-def test_pairs_of_cycles_at_a_hub(spark):
+def test_cycles_with_and_without_hubs(hub, monkeypatch):
+    """Both ways to meet give the same rows, keys and self-loops included."""
+    rows, df = hub
+    df = df.unionByName(df.where("event_id % 9 = 0").selectExpr("event_id + 1000 AS event_id", "src_node", "src_node AS dst_node", "amount", "step", "is_sar")).withColumn("w", F.col("event_id") % 2)
+    for keys in ((), ("w",)):
+        got = []
+        for most in (10**9, 0):
+            monkeypatch.setattr(motifs, "HUB", most)
+            got.append(sorted(map(str, motifs.find_cycle3(df, keys=keys).collect())))
+        assert got[0] == got[1] and got[0]
+
+
+def test_pairs_of_cycles_at_a_hub(spark, monkeypatch):
     """300 nodes pay a hub and 300 are paid by it within one reach: 90,000 pairs at the hub, a few at the others."""
     rows = [(k, 1000 + k, 0, 10.0, 1, 0) for k in range(300)] + [(300 + k, 0, 2000 + k, 10.0, 2, 0) for k in range(300)]
     rows += [(600 + k, 2000 + k, 1000 + k, 10.0, 3, 0) for k in range(0, 300, 10)]
     df = spark.createDataFrame(rows, "event_id long, src_node long, dst_node long, amount double, step int, is_sar int")
+    monkeypatch.setattr(motifs, "HUB", 100)
     pairs = sum(x.count() for x in motifs.cycle_pairs(df))
     assert edges_of(motifs.find_cycle3(df)) == sorted((k, 300 + k, 600 + k) for k in range(0, 300, 10))
     assert pairs < 200
