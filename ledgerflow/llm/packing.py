@@ -2,10 +2,12 @@
 
 The driver sees only the histogram of piece lengths (at most `capacity` numbers).  On it stands a configuration linear
 program: as few sequences as possible, each a multiset of lengths that fits.  Multiplicative weights price the lengths,
-an unbounded knapsack by dynamic programming finds the best configurations at those prices (full ones, for each length
-that is dear enough), and gives a lower bound of the program besides.  The fractional solution is rounded to whole
-sequences; what rounding leaves is a smaller program of the same kind, solved and rounded again until little is left.
-That rest is placed longest piece first, each sequence filled by the same dynamic program.  Pieces then find their place
+an unbounded knapsack by dynamic programming finds the best configurations at those prices, and gives a lower bound of
+the program besides.  First only sequences without a gap are used, in a few rounds that give each length its share: where
+there are many lengths that meets the bound.  Where it doesn't come within a thousandth of it, the whole program is
+solved: lengths and configurations both carry weights, in optimistic steps, until value and bound are that close; its
+solution is moved to a corner, which has at most one configuration a length, and rounded down.  What rounding leaves is
+placed longest piece first, each sequence filled by the same dynamic program.  Pieces then find their place
 by their rank among pieces of their length; ranks come from salted groups of bounded size, so a length that a third of
 all pieces share lands in many tasks.
 """
@@ -30,22 +32,25 @@ Configuration = tuple[tuple[int, int], ...]
 
 @dataclass(frozen=True)
 class PackRules:
-    """rounds, rate: price updates of one solution (more follow, four times as many at most, while they cover a tenth of
-    what is left), and how fast a covered length gets cheaper, if sequences without a gap come within a thousandth of the
-    bound; fine_rounds, fine_rate, fine_near: the same where they don't, as few lengths or many long ones ask for; near: configurations whose worth at the first prices is this close to the best are taken; phases: solutions at most; rest_percent: share of tokens that may
-    be left to the end; undo_percent: the most of them that may be opened again to come closer to the bound than a
-    thousandth."""
+    """rounds, rate: price updates of one solution by sequences without a gap (more follow, four times as many at most,
+    while they cover a tenth of what is left), and how fast a covered length gets cheaper; near: configurations whose
+    worth at the first prices is this close to the best are taken; phases: solutions at most; rest_percent: share of
+    tokens that may be left to the end; undo_percent: the most of them that may be opened again to come closer to the
+    bound than a thousandth.  gap: how close value and bound of the whole program must come; gap_rounds, steps: knapsacks
+    at most, and steps of the weights after each; step: size of a
+    step, halved when the weights don't settle."""
 
     capacity: int = 2048
     rounds: int = 4
     rate: float = 0.2
-    fine_rounds: int = 128
-    fine_rate: float = 3.0
     near: float = 1e-6
-    fine_near: float = 0.1
     phases: int = 12
     rest_percent: int = 2
     undo_percent: int = 10
+    gap: float = 1e-4
+    gap_rounds: int = 80
+    steps: int = 2000
+    step: float = 0.3
 
 
 @dataclass(frozen=True)
@@ -53,28 +58,27 @@ class Packing:
     """plan: configurations ((length, how many), ...) and their numbers of sequences, covering all pieces exactly.
 
     fractional: value of the program's fractional solution; bound: no packing has fewer sequences; rest_tokens: tokens of
-    pieces that came neither from a solution nor its rounding.
+    pieces that came neither from a solution nor its rounding; dual: the program's bound before it is rounded up.
     """
 
     plan: list[tuple[Configuration, int]]
     fractional: float
     bound: int
     rest_tokens: int
+    dual: float
 
     @property
     def sequences(self) -> int:
         return sum(times for _, times in self.plan)
 
 
-def _fill_table(lengths: np.ndarray, value: np.ndarray, room: int, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(best value, length taken last) of filling every room up to `room` exactly, -inf and 0 if that can't be (not exact:
-    of filling it as far as is worth it); lengths ascending, each as often as one likes."""
+def _fill_table(lengths: np.ndarray, value: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best value, length taken last) of filling every room up to `room` exactly, -inf and 0 if that can't be; lengths
+    ascending, each as often as one likes."""
     best, last = np.full(room + 1, -np.inf), np.zeros(room + 1, np.int64)
     best[0] = 0.0
     fits = np.searchsorted(lengths, np.arange(room + 1), "right")
     for c in range(1, room + 1):
-        if not exact:
-            best[c] = best[c - 1]
         if k := fits[c]:
             got = value[:k] + best[c - lengths[:k]]
             i = int(got.argmax())
@@ -95,14 +99,14 @@ def _unfold(last: np.ndarray, room: int) -> dict[int, int]:
     return out
 
 
-def _priced(lengths: np.ndarray, price: np.ndarray, best: np.ndarray, room: int, have: np.ndarray, exact: bool) -> dict[int, int]:
+def _priced(lengths: np.ndarray, price: np.ndarray, best: np.ndarray, room: int, have: np.ndarray) -> dict[int, int]:
     """A filling of `room` by the table's prices from pieces that are there (have, by place in lengths)."""
     out: dict[int, int] = {}
     while room > 0:
         k = int(np.searchsorted(lengths, room, "right"))
         got = np.where(have[:k] >= 1, price[:k] + best[room - lengths[:k]], -np.inf)
         i = int(got.argmax()) if k else -1
-        if i < 0 or got[i] == -np.inf or (not exact and got[i] <= best[room - 1]):
+        if i < 0 or got[i] == -np.inf:
             room -= 1
             continue
         out[i] = out.get(i, 0) + 1
@@ -128,13 +132,12 @@ def _first_prices(counts: np.ndarray, c: int) -> tuple[np.ndarray, float]:
     return price, bound
 
 
-def solve_program(counts: np.ndarray, rules: PackRules, full: bool) -> tuple[dict[Configuration, float], float, float]:
-    """(configurations with fractional numbers of sequences, value of that solution, lower bound of the program).
+def solve_full(counts: np.ndarray, rules: PackRules) -> tuple[dict[Configuration, float], float, float]:
+    """(configurations without a gap with fractional numbers of sequences, value of that solution, lower bound).
 
     Multiplicative weights: a length costs less the more of it is covered.  In each round every length gets the best
     configuration at the prices that the pieces left allow, for its share, if the first prices, those of the best bound,
-    make it a good one.  full: only
-    sequences without a gap.  The knapsack's best value at any prices gives
+    make it a good one.  The knapsack's best value at any prices gives
     the dual bound.  No configuration takes more of a length than there is; what stays uncovered counts in the
     value as sequences of one length each.
     """
@@ -144,15 +147,14 @@ def solve_program(counts: np.ndarray, rules: PackRules, full: bool) -> tuple[dic
     shares: dict[Configuration, float] = {}
     size, before = np.arange(c + 1), np.inf
     first, bound = _first_prices(counts, c)
-    near = rules.near if full else rules.fine_near
-    rounds, rate = (rules.rounds, rules.rate) if full else (rules.fine_rounds, rules.fine_rate)
+    near, rounds, rate = rules.near, rules.rounds, rules.rate
     for r in range(4 * rounds):
         live, now = lengths[left[lengths] > 1e-9], float((left * size).sum())
         if not len(live) or (r >= rounds and now > 0.9 * before):
             break
         before = now
         price = (first[live] + 0.02 * live / c) * (1 + 0.05 * live / c) * np.exp(-rate * covered[live] / counts[live])
-        best, _ = _fill_table(live, price, c, exact=full)
+        best, _ = _fill_table(live, price, c)
         bound = max(bound, float((counts[live] * price).sum() / best.max()))
         share = 1.0 / max(1, rounds - r)
         have = left[live]
@@ -161,7 +163,7 @@ def solve_program(counts: np.ndarray, rules: PackRules, full: bool) -> tuple[dic
             if have[i] < 1:
                 continue
             have[i] -= 1
-            config = _priced(live, price, best, c - n, have, full)
+            config = _priced(live, price, best, c - n, have)
             have[i] += 1
             config[n] = config.get(n, 0) + 1
             if sum(first[m] * a for m, a in config.items()) < 1 - near:
@@ -179,6 +181,155 @@ def solve_program(counts: np.ndarray, rules: PackRules, full: bool) -> tuple[dic
     return shares, value, bound
 
 
+def _knapsack(lengths: np.ndarray, price: np.ndarray, room: int) -> np.ndarray:
+    """Best value of filling every room up to `room` as far as is worth it; lengths as often as one likes."""
+    best = np.zeros(room + 1)
+    for n, v in zip(lengths.tolist(), price.tolist(), strict=True):
+        for a in range(n, room + 1, n):
+            b = min(a + n, room + 1)
+            np.maximum(best[a:b], best[a - n : b - n] + v, out=best[a:b])
+    return best
+
+
+def _best_with(i: int, lengths: np.ndarray, price: np.ndarray, best: np.ndarray, c: int) -> tuple[tuple[int, int], ...]:
+    """The best filling of c that has lengths[i], as ((place in lengths, how many), ...)."""
+    out, room = {i: 1}, c - int(lengths[i])
+    while k := int(np.searchsorted(lengths, room, "right")):
+        got = price[:k] + best[room - lengths[:k]]
+        j = int(got.argmax())
+        if got[j] <= 1e-12:
+            break
+        out[j] = out.get(j, 0) + 1
+        room -= int(lengths[j])
+    return tuple(sorted(out.items()))
+
+
+class _Columns:
+    """Configurations as the columns of a sparse matrix: how many pieces of each length, over `scale` of the length."""
+
+    def __init__(self, keys: list[tuple[tuple[int, int], ...]], scale: np.ndarray) -> None:
+        self.starts = np.cumsum([0, *(len(k) for k in keys)])[:-1]
+        self.rows = np.array([i for k in keys for i, _ in k], np.int64)
+        self.cols = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        self.many = np.array([a for k in keys for _, a in k], float)
+        self.entries, self.size = self.many / scale[self.rows], len(scale)
+
+    def worth(self, y: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.entries * y[self.rows], self.starts)
+
+    def cover(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.entries * x[self.cols], self.size)
+
+
+def _stepped(weight: np.ndarray, move: np.ndarray) -> np.ndarray:
+    out = np.maximum(weight * np.exp(np.clip(move, -1, 1)), 1e-30)
+    return out / out.sum()
+
+
+def solve_program(counts: np.ndarray, rules: PackRules) -> tuple[dict[Configuration, float], float, float]:
+    """(configurations with numbers of sequences, value, lower bound) of the whole program, at a corner of it.
+
+    A game: one side mixes lengths by weights, the other configurations; a step multiplies each weight by the exponential
+    of its gain, the newest gain counted twice and the one before taken back.  The knapsack adds, at the prices met, the
+    best configuration that has each length, and bounds the program; it ends when value and bound are `gap` apart.
+    Lengths with the fewest pieces are left out, up to gap / 4 of all tokens.
+    """
+    c, size = rules.capacity, np.arange(rules.capacity + 1)
+    lengths = np.flatnonzero(counts)
+    rare = lengths[np.argsort(counts[lengths], kind="stable")]
+    few = np.cumsum(counts[rare] * rare) <= rules.gap / 4 * (counts * size).sum()
+    lengths = np.setdiff1d(lengths, rare[few])
+    n, alone = counts[lengths].astype(float), c // lengths
+    keys = {((i, int(a)),): None for i, a in enumerate(alone)}
+    first, bound = _first_prices(np.where(np.isin(size, lengths), counts, 0), c)
+    price, value, step = first[lengths], np.inf, rules.step
+    chosen = np.zeros(0)
+    x, y, before = np.zeros(0), price * n / (price @ n), np.inf
+    for _ in range(rules.gap_rounds):
+        best = _knapsack(lengths, price, c)
+        bound, had = max(bound, float(n @ price / best[c])), len(keys)
+        for i in range(len(lengths)):
+            key = _best_with(i, lengths, price, best, c)
+            if sum(price[j] * a for j, a in key) > 0.9 * best[c]:
+                keys.setdefault(key)
+        program = _Columns(list(keys), n / bound)
+        x = np.concatenate([x, np.zeros(len(keys) - len(x))]) + 1e-3 / len(keys)
+        x /= x.sum()
+        worth, cover = program.worth(y), program.cover(x)
+        old = worth, cover
+        xs, ys = np.zeros(len(x)), np.zeros(len(y))
+        for t in range(1, rules.steps + 1):
+            x, y = _stepped(x, step * (2 * worth - old[0] - 1)), _stepped(y, step * (1 + old[1] - 2 * cover))
+            old = worth, cover
+            worth, cover = program.worth(y), program.cover(x)
+            xs += x
+            ys += y
+            if t % 200 == 0 and program.worth(ys / t).max() - program.cover(xs / t).min() < rules.gap / 4:
+                break
+        apart = float(program.worth(ys / t).max() - program.cover(xs / t).min())
+        if len(keys) == had and apart > 0.5 * before:
+            step /= 2  # these steps are too long to settle
+        before = apart
+        for mix in (x, xs / t):
+            got = program.cover(mix) * n / bound
+            for times in np.quantile(n / np.maximum(got, 1e-12), (0, 0.25, 0.5, 0.75, 0.9, 1)):
+                v = times + float((np.maximum(0, n - times * got) / alone).sum())
+                if v < value:
+                    value, chosen = v, mix * times
+        prices = [y / n, ys / n]
+        tops = [float(n @ p / _knapsack(lengths, p, c)[c]) for p in prices]
+        price, bound = prices[int(np.argmax(tops))], max(bound, *tops)
+        if value <= (1 + rules.gap) * bound:
+            break
+    chosen = np.concatenate([chosen, np.zeros(len(keys) - len(chosen))])
+    chosen[chosen < 1e-6] = 0
+    matrix = _Columns(list(keys), np.ones(len(n)))
+    chosen[: len(n)] += np.maximum(0, n - matrix.cover(chosen)) / alone  # the first ones have one length each
+    corner = _corner(list(keys), chosen, n)
+    shares = {tuple((int(lengths[i]), a) for i, a in reversed(k)): v for k, v in zip(keys, corner, strict=True) if v > 1e-9}
+    return shares, sum(shares.values()), bound
+
+
+def _corner(keys: list[tuple[tuple[int, int], ...]], chosen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A solution no dearer than `chosen` (which covers n) with at most one configuration a length.
+
+    The surplus of each length is the first basis.  Every configuration in turn grows while that isn't dearer, or else
+    shrinks; it ends at nothing, or takes the place of whatever reaches nothing first.
+    """
+    m, chosen = len(n), chosen.copy()
+    inverse = -np.eye(m)
+    basis = np.full(m, -1)  # -1: a surplus
+    held = np.maximum(0, _Columns(keys, np.ones(m)).cover(chosen) - n)
+    for j in np.flatnonzero(chosen > 0):
+        column = np.zeros(m)
+        for i, a in keys[j]:
+            column[i] = a
+        d = inverse @ column  # the basis loses d for each one more of j
+        up = 1 - d[basis >= 0].sum() <= 0
+        push = d if up else -d
+        falls = push > 1e-9
+        ratio = np.where(falls, held / np.where(falls, push, 1), np.inf)
+        out = int(ratio.argmin())
+        move = float(ratio[out])
+        if not up and move >= chosen[j]:
+            held = np.maximum(0, held + d * chosen[j])
+            chosen[j] = 0
+            continue
+        if move == np.inf:
+            continue
+        held = np.maximum(0, held - push * move)
+        now = chosen[j] + (move if up else -move)
+        if basis[out] >= 0:
+            chosen[basis[out]] = 0
+        basis[out], held[out] = j, now
+        row = inverse[out] / d[out]
+        inverse -= np.outer(d, row)
+        inverse[out] = row
+    done = np.zeros(len(chosen))
+    done[basis[basis >= 0]] = held[basis >= 0]
+    return done
+
+
 def _rounded(shares: dict[Configuration, float], rest: np.ndarray) -> list[tuple[Configuration, int]]:
     """Whole sequences of a solution, the most frequent configurations first, as far as pieces last (rest is reduced)."""
     plan = []
@@ -197,14 +348,39 @@ def solve_configurations(counts: np.ndarray, rules: PackRules = PackRules()) ->
 
 def solve_packing(counts: np.ndarray, rules: PackRules = PackRules()) -> Packing:
     """solve_configurations() with the figures of its program."""
-    found = _solve_packing(counts, rules, True)
+    found = _full_packing(counts, rules)
     if found.sequences > 1.001 * found.bound + 1:
-        fine = _solve_packing(counts, rules, False)
-        found = min(found, fine, key=lambda x: x.sequences)
+        found = min(_corner_packing(counts, rules, found.dual), found, key=lambda x: x.sequences)
     return found
 
 
-def _solve_packing(counts: np.ndarray, rules: PackRules, full: bool) -> Packing:
+def _corner_packing(counts: np.ndarray, rules: PackRules, dual: float) -> Packing:
+    """The corner of the whole program rounded down; what is left is placed longest first, or the corner's fractions are
+    rounded up as far as pieces last if that takes fewer sequences."""
+    counts = counts.astype(np.int64)
+    shares, value, bound = solve_program(counts, rules)
+    dual = max(dual, bound)
+    rest, plan = counts.copy(), []
+    for key, times in sorted(shares.items()):
+        whole = int(times + 1e-6)
+        while whole and (fits := tuple((m, min(a, int(rest[m]))) for m, a in key if rest[m])):  # the corner may have more of a length than there is
+            some = min(whole, *(int(rest[m]) // a for m, a in fits))
+            plan.append((fits, some))
+            for m, a in fits:
+                rest[m] -= a * some
+            whole -= some
+    first = _ended(plan, rest.copy(), counts, value, dual, rules)
+    second = []
+    for key, _ in sorted(shares.items(), key=lambda x: (int(x[1]) - x[1], x[0])):
+        if fits := tuple((m, min(a, int(rest[m]))) for m, a in key if rest[m]):
+            second.append((fits, 1))
+            for m, a in fits:
+                rest[m] -= a
+    second += _place_rest(rest.copy(), rules.capacity)
+    return min(first, Packing(plan + second, value, first.bound, int((rest * np.arange(rules.capacity + 1)).sum()), dual), key=lambda x: x.sequences)
+
+
+def _full_packing(counts: np.ndarray, rules: PackRules) -> Packing:
     c = rules.capacity
     counts = counts.astype(np.int64)
     rest, plan, size = counts.copy(), [], np.arange(c + 1)
@@ -213,23 +389,29 @@ def _solve_packing(counts: np.ndarray, rules: PackRules, full: bool) -> Packing:
         before = int((rest * size).sum())
         if before * 100 <= total * rules.rest_percent:
             break
-        shares, v, b = solve_program(rest, rules, full)
+        shares, v, b = solve_full(rest, rules)
         if phase == 0:
             value, bound = v, b
         plan += _rounded(shares, rest)
         if int((rest * size).sum()) > 0.9 * before:
             break
+    return _ended(plan, rest, counts, value, bound, rules)
+
+
+def _ended(plan: list[tuple[Configuration, int]], rest: np.ndarray, counts: np.ndarray, value: float, bound: float, rules: PackRules) -> Packing:
+    """plan with the rest placed; while that is over the bound, sequences of the smallest pieces are opened and placed
+    anew, up to undo_percent of all tokens."""
+    c, size, plan = rules.capacity, np.arange(rules.capacity + 1), list(plan)
+    total = int((counts * size).sum())
     least = max(int(np.ceil(bound - 1e-6)), int(counts[c // 2 + 1 :].sum()))
     best: Packing | None = None
     while True:
         left = int((rest * size).sum())
-        found = Packing(plan + _place_rest(rest.copy(), c), value, least, left)
+        found = Packing(plan + _place_rest(rest.copy(), c), value, least, left, bound)
         if best is None or found.sequences < best.sequences:
             best = found
-        near = best.sequences <= 1.001 * least + 1
-        if best.sequences <= least or not plan or (near and left * 100 > total * rules.undo_percent / 2):
+        if best.sequences <= least or not plan or left * 100 > total * rules.undo_percent / 2:
             return best
-        # more to place is easier to place: sequences of the smallest pieces are opened again
         plan = sorted(plan, key=lambda x: (sum(a for _, a in x[0]), x))
         while plan and int((rest * size).sum()) < 2 * left + c:
             key, times = plan.pop()

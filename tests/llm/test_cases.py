@@ -262,6 +262,44 @@ def test_program(spark, sf_dir):
     assert many.sequences <= 1.001 * many.bound and many.rest_tokens <= 3 * total
 
 
+@pytest.mark.parametrize("seed", range(1, 7))
+def test_program_of_few_lengths(seed):
+    """Few lengths, or rare and long ones: value and bound of the program meet, and its corner decides nearly all."""
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(2049, np.int64)
+    if seed < 4:
+        counts[rng.choice(np.arange(300, 1500), 25, replace=False)] = rng.integers(100, 4000, 25)
+    elif seed < 6:
+        counts[rng.choice(np.arange(100, 2049), 60, replace=False)] = rng.integers(1, 100_000, 60)
+    else:
+        counts[[700, 1100]] = 5, 1
+    found = packing.solve_packing(counts)
+    back = np.zeros_like(counts)
+    for key, times in found.plan:
+        assert sum(m * a for m, a in key) <= 2048
+        for m, a in key:
+            back[m] += a * times
+    assert (back == counts).all()
+    lengths = int((counts > 0).sum())
+    assert found.bound <= found.sequences <= found.bound + max(lengths, 0.001 * found.bound)
+    if seed < 6:
+        assert found.dual <= found.fractional <= 1.001 * found.dual
+        assert found.rest_tokens <= 0.1 * (counts * np.arange(2049)).sum()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_corner_of_program(seed):
+    """A corner covers as much at no higher price, with at most one configuration a length."""
+    rng = np.random.default_rng(seed)
+    keys = [tuple((int(i), int(rng.integers(1, 4))) for i in np.sort(rng.choice(12, rng.integers(1, 4), replace=False))) for _ in range(200)]
+    chosen = rng.random(200) * 10
+    matrix = packing._Columns(keys, np.ones(12))
+    need = matrix.cover(chosen) * rng.uniform(0.7, 1, 12)
+    corner = packing._corner(keys, chosen, need)
+    assert (corner >= 0).all() and (corner > 0).sum() <= 12
+    assert (matrix.cover(corner) >= need - 1e-6).all() and corner.sum() <= chosen.sum() + 1e-6
+
+
 def plain_mixture(counts, model, rules):
     """Expectation-maximisation and the greedy set of languages for one document, with loops."""
     k, total = model.shape[1], max(1.0, counts.sum())
