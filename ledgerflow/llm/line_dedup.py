@@ -93,6 +93,7 @@ def repeated_lines(docs: DataFrame, rules: LineKeys = LineKeys()) -> DataFrame:
     least = F.min(F.when(~F.col("settled"), F.col("doc"))).over(Window.partitionBy("h", "g", "s"))
     found = found.withColumn("gone", F.col("settled") | (F.col("doc") > least)).where("gone or s > 0")
     found = written(found.select(F.when(~F.col("gone"), F.col("h")).alias("h"), "g", "doc"), "line-rows")
+    twice.destroy()  # what it was for is a written table
     tidy(rows.sparkSession)
     # the smallest documents of each salt: a few for a line, met by partial minima
     open_ = found.where("h is not null")

@@ -372,6 +372,7 @@ def _members(texts: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
     names = ["b", "node", "n", "inst", "extra", *PARITY]
     tidy(spark)
     found = written(texts.select("node", "n", "text").mapInArrow(lean(rows), "b long, node long, n long, inst int, extra int, " + ", ".join(f"{c} long" for c in PARITY)), "signatures")
+    shared.destroy()  # what it was for is a written table
     maps = written(found.where("b is null").groupBy("node").agg(*(F.first(c).alias(c) for c in PARITY)), "maps")
     # a text that is there twice makes its rows twice
     distinct = written(found.where("b is not null").groupBy("b", "node").agg(*(F.first(c).alias(c) for c in ("n", "inst", "extra"))), "distinct")

@@ -2,8 +2,10 @@
 
 Only "once" and "twice or more" matter, so counters saturate at two and the merged sketch is one bit a cell.  A task
 sends, for each range of cells, the sorted cells it has hit as packed gaps (about a byte a hash), flushed at a bounded
-number of hashes; one merging task holds the counters of its ranges alone.  The result has a fixed size, at most
-DEPTH * 2**MAX_BITS / 8 bytes, whatever the corpus: with more hashes than cells it lets more of them pass, never fewer.
+number of hashes; one merging task holds the counters of its ranges alone.  Merged ranges are a written table, which the
+driver reads a file partition at a time into the one array that it broadcasts, so it never holds the ranges twice.  The
+result has a fixed size, at most DEPTH * 2**MAX_BITS / 8 bytes, whatever the corpus: with more hashes than cells it lets
+more of them pass, never fewer.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytekernels import lean, mix
+from .store import drop, written
 
 DEPTH = 2
 MIN_BITS, MAX_BITS = 16, 28
@@ -107,11 +110,13 @@ def merged(sketches: DataFrame, bits: int, hot: bool = False) -> tuple[np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.list_(pa.binary()))], ["part", "bits"])
 
     out = [np.zeros((DEPTH, (1 << b) // 8), np.uint8) for b in (bits, bits - HOT_SHIFT)[: 1 + hot]]
-    for r in sketches.repartition(DEPTH * RANGES, "part").mapInArrow(lean(merge), "part int, bits array<binary>").collect():  # of fixed size
+    ranges = written(sketches.repartition(DEPTH * RANGES, "part").mapInArrow(lean(merge), "part int, bits array<binary>"), "sketch")
+    for r in ranges.toLocalIterator():  # of fixed size
         row, k = divmod(r["part"], RANGES)
         for table, packed in zip(out, r["bits"], strict=True):
             n = table.shape[1] // RANGES
             table[row, k * n : (k + 1) * n] = np.frombuffer(packed, np.uint8)
+    drop(ranges)
     return out[0], out[1] if hot else None
 
 

@@ -72,6 +72,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 13-word windows of those with smaller ids.  Every row stays, a null text as an empty one;
     rows without an id, and rows with one id among themselves, lose nothing to each other."""
+    tidy(spark)
     rows, names = _hidden(docs)
     others = tuple(n for c, n in names.items() if c not in ("doc_id", "text", "n_chars"))
     out = substring_dedup.substring_dedup(rows, names["doc_id"], names["text"], carry=others)

@@ -117,6 +117,7 @@ def removed_starts(docs: DataFrame, rules: WindowRules = WindowRules()) -> DataF
     found = found.withColumn("gone", gone).where("gone or s > 0")
     place = F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))
     found = written(found.select(*(F.when(~F.col("gone"), F.col(c)).alias(c) for c in ("h", "g")), "doc", "tkey", place.alias("at"), "more"), "window-rows")
+    shared.destroy()  # what it was for is a written table
     tidy(rows.sparkSession)
     # the smallest documents of each salt: a few for a window, met by partial minima
     open_ = found.where("h is not null")
