@@ -2,7 +2,7 @@
 
 import pytest
 from ledgerflow.config import MotifConfig
-from ledgerflow.operators import motifs
+from ledgerflow.operators import motifs, significance
 
 
 @pytest.fixture
@@ -27,3 +27,9 @@ def test_split_merge_shuffles_events_alone(events, options):
 def test_chains_of_both_types_are_joined_once(events):
     found = motifs.run_all(events, MotifConfig(enabled=("cycle3", "relay4")))
     assert shuffles(found)[0] == 2
+
+
+def test_filter_reads_instances_once(events):
+    found = motifs.run_all(events, MotifConfig(enabled=("relay4", "fanin")))
+    plan = significance.filter_motifs(found)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 0  # the matchers aren't in the plan of the filter
