@@ -33,3 +33,12 @@ def test_filter_reads_instances_once(events):
     found = motifs.run_all(events, MotifConfig(enabled=("relay4", "fanin")))
     plan = significance.filter_motifs(found)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Window") == 0  # the matchers aren't in the plan of the filter
+
+
+def test_null_model_in_batches(events, spark, monkeypatch):
+    found = motifs.run_all(events)
+    whole = sorted(map(tuple, significance.null_zscore(found, events, n_permutations=5).collect()))
+    spark.__dict__["_settled_paths"] = []
+    monkeypatch.setattr(significance, "BATCH", 160)  # two permutations of 80 events at a time
+    assert sorted(map(tuple, significance.null_zscore(found, events, n_permutations=5).collect())) == whole
+    assert len(spark.__dict__["_settled_paths"]) == 1  # the events; tables of batches are gone
