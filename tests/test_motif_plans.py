@@ -2,7 +2,8 @@
 
 import pytest
 from ledgerflow.config import MotifConfig
-from ledgerflow.operators import motifs, significance
+from ledgerflow.functions import tables
+from ledgerflow.operators import edges, motifs, significance
 
 
 @pytest.fixture
@@ -42,3 +43,11 @@ def test_null_model_in_batches(events, spark, monkeypatch):
     monkeypatch.setattr(significance, "BATCH", 160)  # two permutations of 80 events at a time
     assert sorted(map(tuple, significance.null_zscore(found, events, n_permutations=5).collect())) == whole
     assert len(spark.__dict__["_settled_paths"]) == 1  # the events; tables of batches are gone
+
+
+def test_relay_tasks_grow_with_the_events(events, monkeypatch):
+    whole = sorted(map(tuple, edges.temporal_edges(events).collect()))
+    monkeypatch.setattr(tables, "PART_ROWS", 4)
+    relay = edges.temporal_edges(events)
+    assert relay.rdd.getNumPartitions() == 20  # 4, the session's number, before
+    assert sorted(map(tuple, relay.collect())) == whole and whole
