@@ -3,7 +3,8 @@
 import pytest
 from ledgerflow.config import MotifConfig
 from ledgerflow.functions import tables
-from ledgerflow.operators import edges, motifs, significance
+from ledgerflow.operators import communities, edges, motifs, significance
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -51,3 +52,23 @@ def test_relay_tasks_grow_with_the_events(events, monkeypatch):
     relay = edges.temporal_edges(events)
     assert relay.rdd.getNumPartitions() == 20  # 4, the session's number, before
     assert sorted(map(tuple, relay.collect())) == whole and whole
+
+
+def test_counts_within_communities(events, spark):
+    rows = events.withColumn("window_id", F.floor(F.col("step") / 7).cast("int"))
+    nodes = rows.select("window_id", F.explode(F.array("src_node", "dst_node")).alias("node")).distinct()
+    for labels in (F.when(F.col("node") > 40, -1).otherwise(F.col("node") % 2), F.when(F.col("node") == 4, -1).otherwise(0)):
+        named = nodes.withColumn("global_cid", labels.cast("bigint"))
+        for options in ({}, {"enabled": ("relay4",)}, {"enabled": ("fanin", "split_merge"), "first_edge_only": True}, {"max_instances": 5}):
+            cfg = MotifConfig(**options)
+            found = communities.motif_counts(motifs.run_all(rows, cfg, ("window_id",)), named, ("window_id",))
+            counts = communities.motif_counts_within(rows, named, cfg, ("window_id",))
+            order = ("window_id", "global_cid", "motif_count")
+            assert sorted(map(tuple, counts.select(*order).collect())) == sorted(map(tuple, found.select(*order).collect()))
+
+
+def test_relays_of_communities_never_meet_labels(events):
+    labels = events.select(F.explode(F.array("src_node", "dst_node")).alias("node")).distinct().withColumn("global_cid", F.lit(0).cast("bigint"))
+    counts = communities.motif_counts_within(events, labels, MotifConfig(enabled=("relay4",)))
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2  # those of the relays: events met the labels before, instances never do
