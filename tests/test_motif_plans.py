@@ -37,6 +37,12 @@ def test_filter_reads_instances_once(events):
     assert plan.count("Window") == 0  # the matchers aren't in the plan of the filter
 
 
+def test_filter_deals_no_instances_by_type(events):
+    plan = significance.filter_motifs(motifs.run_all(events, MotifConfig(enabled=("relay4", "fanin"))))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # types with enough support are sent to the instances
+
+
+
 def test_null_model_in_batches(events, spark, monkeypatch):
     found = motifs.run_all(events)
     whole = sorted(map(tuple, significance.null_zscore(found, events, n_permutations=5).collect()))
