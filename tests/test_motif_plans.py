@@ -43,6 +43,15 @@ def test_filter_deals_no_instances_by_type(events):
 
 
 
+def test_null_model_writes_no_order_keys(events, spark):
+    spark.__dict__["_settled_paths"] = []
+    assert significance.shuffle_steps(events, 2).count() == 160
+    names = [set(spark.read.parquet(p).columns) for p in spark.__dict__["_settled_paths"]]
+    assert {"perm_id", "__step", "__part", "__place"} in names  # digests, sources and event ids gave the order and went
+    assert not any("__key" in n for n in names)
+
+
+
 def test_null_model_in_batches(events, spark, monkeypatch):
     found = motifs.run_all(events)
     whole = sorted(map(tuple, significance.null_zscore(found, events, n_permutations=5).collect()))
