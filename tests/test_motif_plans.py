@@ -3,7 +3,7 @@
 import pytest
 from ledgerflow.config import MotifConfig
 from ledgerflow.functions import tables
-from ledgerflow.operators import communities, edges, motifs, significance
+from ledgerflow.operators import communities, edges, features, motifs, significance
 from pyspark.sql import functions as F
 
 
@@ -42,7 +42,6 @@ def test_filter_deals_no_instances_by_type(events):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # types with enough support are sent to the instances
 
 
-
 def test_null_model_writes_no_order_keys(events, spark):
     spark.__dict__["_settled_paths"] = []
     assert significance.shuffle_steps(events, 2).count() == 160
@@ -51,6 +50,17 @@ def test_null_model_writes_no_order_keys(events, spark):
     assert not any("__key" in n for n in names)
 
 
+def test_entity_features_shuffle_narrow_rows(events, spark):
+    x = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**9)) / 10**6
+    n, ratio = 20_000, lambda k: F.round(x(k) / 500, 4)
+    found = spark.range(0, n, 1, 4).select(F.lit("relay4").alias("motif_type"), F.array("id").alias("nodes"), F.array(x(1), x(2), x(3)).alias("amounts"), F.array(F.lit(1), F.pmod("id", F.lit(3)).cast("int")).alias("lags"), F.array(ratio(4), ratio(5)).alias("ratios"), F.lit(0).alias("n_alert"))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = stages().size()
+    assert features.entity_features(found).select(F.sum("count"), F.sum("avg_amount"), F.sum("avg_ratio"), F.sum("ratio_std"), F.sum("avg_lag")).first()[0] == n
+    every = stages()  # the latest come first
+    written = sum(every.apply(i).shuffleWriteBytes() for i in range(every.size() - before))
+    assert written < 55 * n, written / n
+
 
 def test_null_model_in_batches(events, spark, monkeypatch):
     found = motifs.run_all(events)
