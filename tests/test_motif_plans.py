@@ -26,6 +26,17 @@ def test_split_merge_shuffles_events_alone(events, options):
     assert joins == 1 and exchanges <= 3  # events, legs, and events with their lists of legs
 
 
+def test_split_merge_tasks_grow_with_the_events(events, spark, monkeypatch):
+    rows = [(100 + i, 50 if i % 2 else 60 + i // 2 % 4, 60 + i // 2 % 4 if i % 2 else 70, i // 4, 10.0, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, events.schema)  # 50 pays 60 to 63, and they pay 70
+    whole = sorted(map(str, motifs.find_split_merge(df).collect()))
+    monkeypatch.setattr(tables, "PART_ROWS", 4)
+    found = motifs.find_split_merge(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 20), REPARTITION_BY_NUM") == 3 and plan.count("Exchange hashpartitioning") == 3  # events, legs, lists
+    assert sorted(map(str, found.collect())) == whole and whole
+
+
 def test_chains_of_both_types_are_joined_once(events):
     found = motifs.run_all(events, MotifConfig(enabled=("cycle3", "relay4")))
     assert shuffles(found)[0] == 2
