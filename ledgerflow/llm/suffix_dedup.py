@@ -10,7 +10,9 @@ of which goes on with what the pass before couldn't finish:
    their suffixes is repeated.  Smallest documents go on only if their first digit has other runs too.
 3. The suffixes of the runs that are left go on one by one.  A histogram of their first `length` bytes finishes those
    that occur once.  The others are sorted by their bytes, in digits of eight, the first three of which also deal them
-   to tasks: equal neighbours of that order are exactly the repeated strings.
+   to tasks: equal neighbours of that order are exactly the repeated strings.  Equal suffixes have one first digit, so
+   this pass takes one share of the first digits after the other: what it holds on disk and in its histogram at a time
+   doesn't grow with the corpus.
 
 Runs are told apart by 128 bits (64 of the digit, 64 of the content); suffixes by their bytes.  What very many tasks
 hold is dealt by document as well, and the smallest documents that come out are met once more, by partial minima.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ from .substring_dedup import keyed_texts, local_first, row_hashes, salts, split_
 _PLACE_BITS = 30
 #: Bytes of contested runs that one batch of their table holds at most.
 BLOCK_BYTES = 1 << 24
+#: Shares of the first digits, and suffixes that the third pass takes at a time, about.
+SHARES, TOGETHER = 256, 1 << 26
+#: Runs of a task of the second pass, about.
+TASK_RUNS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +75,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, rules: SuffixRules) -> tuple[np.
 
 
 def _second_pass(rows: DataFrame, rules: SuffixRules) -> DataFrame:
-    """doc, tkey, at, n, contested: runs that a smaller document has whole, and contested ones, which may share suffixes."""
+    """doc, tkey, at, n, contested, share: runs that a smaller document has whole, and contested ones, which may share
+    suffixes; share: that of the first digit (null if not contested)."""
 
     def parts(batch):
         data, offsets = text_buffer(batch.column(2))
@@ -88,37 +96,49 @@ def _second_pass(rows: DataFrame, rules: SuffixRules) -> DataFrame:
                 hot = sketch.frequent(shared.value[1], digit, bits)
                 key = np.where(hot, mix(digit ^ mix(run)), digit)
                 open_, later = local_first((digit, run), ids[doc + a])
-                for k, settled in ((open_, False), (later, True)):
-                    if len(k):
-                        row = doc[k] + a
-                        own = row_hashes(ids[row], tkeys[row]) if settled else key[k]  # settled rows only pass through
-                        state = np.full(len(k), -1, np.int16) if settled else salts(hot[k], ids[row])
-                        cols = [own.view(np.int64), run[k].view(np.int64), ids[row], tkeys[row], (at[k] + before).astype(np.int32), n[k].astype(np.int32), state]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "run", "doc", "tkey", "at", "n", "s"])
-
-    found = rows.mapInArrow(lean(second), "key long, run long, doc long, tkey long, at int, n int, s short").repartition("key", "s")
+                if len(open_):
+                    row = doc[open_] + a
+                    share = np.where(hot[open_], digit[open_] % np.uint64(SHARES), 0).astype(np.int16)  # else the key has it
+                    cols = [key[open_].view(np.int64), run[open_].view(np.int64), ids[row], tkeys[row], (at[open_] + before).astype(np.int32), n[open_].astype(np.int32), salts(hot[open_], ids[row]), share]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                if len(later):  # settled: they only pass through, neighbours of a document as one row
+                    later = later[np.lexsort((at[later], doc[later]))]
+                    new = np.ones(len(later), bool)
+                    new[1:] = (doc[later[1:]] != doc[later[:-1]]) | (at[later[1:]] != at[later[:-1]] + n[later[:-1]])
+                    first = np.flatnonzero(new)
+                    row, many = doc[later[first]] + a, np.add.reduceat(n[later], first)
+                    none = np.zeros(len(first), np.int16)
+                    cols = [row_hashes(ids[row], tkeys[row]).view(np.int64), none.astype(np.int64), ids[row], tkeys[row], (at[later[first]] + before).astype(np.int32), many.astype(np.int32), none - np.int16(1), none]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    names = ["key", "run", "doc", "tkey", "at", "n", "s", "share"]
+    # tasks grow with the runs, so that a task's share is sorted in memory
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(expected / TASK_RUNS))
+    found = rows.mapInArrow(lean(second), "key long, run long, doc long, tkey long, at int, n int, s short, share short").repartition(tasks, "key", "s")
     same, digit = Window.partitionBy("key", "s", "run"), Window.partitionBy("key", "s")
     found = found.withColumn("least", F.min(F.when(F.col("s") >= 0, F.col("doc"))).over(same)).withColumn("low", F.min("run").over(digit)).withColumn("high", F.max("run").over(digit))
     gone = (F.col("s") < 0) | (F.col("doc") > F.col("least"))
     contested = ~gone & ((F.col("s") > 0) | (F.col("low") != F.col("high")))
-    return found.where(gone | contested).select("doc", "tkey", "at", "n", (~gone).alias("contested"))
+    share = F.when(F.col("s") > 0, F.col("share")).otherwise(F.col("key").bitwiseAND(F.lit(SHARES - 1))).cast("short")
+    return found.where(gone | contested).select("doc", "tkey", "at", "n", (~gone).alias("contested"), F.when(~gone, share).alias("share"))
 
 
-def _lists(runs_: DataFrame) -> DataFrame:
-    """doc, tkey and at, n of its runs as lists: of one text, however often it is there."""
-    sets = runs_.groupBy("doc", "tkey").agg(F.collect_set(F.struct("at", "n")).alias("r"))
-    return sets.select("doc", "tkey", F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+def _lists(runs_: DataFrame, *more: str) -> DataFrame:
+    """doc, tkey and at, n (and columns `more`) of its runs as lists: of one text, however often it is there."""
+    sets = runs_.groupBy("doc", "tkey").agg(F.collect_set(F.struct("at", "n", *more)).alias("r"))
+    return sets.select("doc", "tkey", *(F.col(f"r.{c}").alias(c) for c in ("at", "n", *more)))
 
 
 def _contested_runs(docs: DataFrame, contested: DataFrame, rules: SuffixRules) -> DataFrame:
-    """doc, tkey, at, content of contested runs."""
-    lists = written(_lists(contested), "contested")
+    """doc, tkey, at, content, share of contested runs."""
+    lists = written(_lists(contested, "share"), "contested")
 
     def contents(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             every = batch.column(3).flatten().to_numpy()
             sizes = batch.column(4).flatten().to_numpy().astype(np.int64) + rules.length - 1
+            shares = batch.column(5).flatten()
             rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()))
             until = np.cumsum(sizes)
             begin = 0
@@ -129,12 +149,13 @@ def _contested_runs(docs: DataFrame, contested: DataFrame, rules: SuffixRules) -
                 flat = data[np.repeat(offsets[:-1][row] + at - ends[:-1], size) + np.arange(ends[-1])]
                 text = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at), text], ["doc", "tkey", "at", "content"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at), text, shares.slice(begin, end - begin)], ["doc", "tkey", "at", "content", "share"])
                 begin = end
 
     hit, _ = split_touched(docs, lists)
-    joined = hit.join(lists, ["doc", "tkey"]).select("doc", "tkey", "text", "at", "n")
-    pieces = written(joined.mapInArrow(lean(contents), "doc long, tkey long, at int, content binary"), "contested-runs")
+    joined = hit.join(lists, ["doc", "tkey"]).select("doc", "tkey", "text", "at", "n", "share")
+    pieces = written(joined.mapInArrow(lean(contents), "doc long, tkey long, at int, content binary, share short"), "contested-runs")
+    drop(lists)
     tidy(docs.sparkSession)
     return pieces
 
@@ -153,8 +174,16 @@ def byte_digits(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarra
     return out
 
 
+def _third_pass(pieces: DataFrame, rules: SuffixRules) -> list[DataFrame]:
+    """Written tables doc, tkey, at, n: _sorted_suffixes() of pieces (contested runs), one range of shares after the other."""
+    each = (rules.length - rules.gram + 1) / 2  # suffixes of a run
+    ranges = int(np.clip(np.ceil(each * pieces.count() / TOGETHER), 1, SHARES))
+    edges = np.linspace(0, SHARES, ranges + 1).astype(int).tolist()
+    return [_sorted_suffixes(pieces.where(F.col("share").between(a, b - 1)).drop("share"), rules) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
-    """doc, tkey, at, n of runs of suffixes of pieces (contested runs) that a smaller document has too."""
+    """The written table doc, tkey, at, n of runs of suffixes of pieces that a smaller document has too."""
     digits = [f"d{i}" for i in range(-(-rules.length // 8))]
 
     def parts(batch):
@@ -215,10 +244,14 @@ def _sorted_suffixes(pieces: DataFrame, rules: SuffixRules) -> DataFrame:
     schema = ", ".join(f"{d} long" for d in digits)
     found = pieces.mapInArrow(lean(deal), f"{schema}, s short, doc long, tkey long, at int, n int").repartition(*digits[:3], "s").sortWithinPartitions(*digits, "s", "doc")
     met = written(found.mapInArrow(lean(meet), f"{schema}, open boolean, doc long, tkey long, at int, n int"), "suffix-rows")
+    shared.destroy()  # what it was for is a written table
     tidy(pieces.sparkSession)
     open_ = met.where("open")
     late = open_.join(open_.groupBy(*digits).agg(F.min("doc").alias("least")), digits).where("doc > least")
-    return met.where("not open").select("doc", "tkey", "at", "n").unionByName(late.select("doc", "tkey", "at", "n"))
+    out = written(met.where("not open").select("doc", "tkey", "at", "n").unionByName(late.select("doc", "tkey", "at", "n")), "third-pass")
+    drop(met)
+    tidy(pieces.sparkSession)
+    return out
 
 
 def removed_mask(size: int, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -241,12 +274,12 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = docs.where("doc is not null")
     passed = written(_second_pass(some, rules), "second-pass")
     tidy(df.sparkSession)
-    pieces = _contested_runs(some, passed.where("contested").select("doc", "tkey", "at", "n"), rules)
-    late = written(_sorted_suffixes(pieces, rules), "third-pass")
+    pieces = _contested_runs(some, passed.where("contested").select("doc", "tkey", "at", "n", "share"), rules)
+    late = _third_pass(pieces, rules)
     drop(pieces)
-    tidy(df.sparkSession)
-    every = passed.where("not contested").select("doc", "tkey", "at", "n").unionByName(late)
+    every = reduce(DataFrame.unionByName, [passed.where("not contested").select("doc", "tkey", "at", "n"), *late])
     lists = written(_lists(every), "removed-runs")
+    drop(passed, *late)
     tidy(df.sparkSession)
     hit, rest = split_touched(docs, lists)
     joined = hit.join(lists, ["doc", "tkey"], "left").select("doc", "text", "at", "n")
